@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, packing, token_store
+from . import bpe, near_dedup, packing, secrets, token_store, toxicity
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_segment_tree, op3_token_store, op9_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_bpe_segment_tree, op3_token_store, op7_secret_linking, op8_toxicity, op9_packing, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
