@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, packing, secrets, token_store, toxicity
+from . import bpe, near_dedup, packing, pii, secrets, token_store, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_segment_tree, op3_token_store, op7_secret_linking, op8_toxicity, op9_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op2_bpe_segment_tree, op3_token_store, op4_pii, op7_secret_linking, op8_toxicity, op9_packing, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
