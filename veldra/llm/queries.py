@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dedup, packing, pii, secrets, token_store, toxicity
+from . import ann, bpe, exact_topk, near_dedup, packing, pii, secrets, token_store, toxicity, url_filter
 from .common import table
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -39,8 +51,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_segment_tree, op3_token_store, op4_pii, op7_secret_linking, op8_toxicity, op9_packing, op10_near_dedup)}
+    own = (
+        op1_collision_ann, op2_bpe_segment_tree, op3_token_store, op4_pii, op5_url_filter,
+        op6_exact_topk, op7_secret_linking, op8_toxicity, op9_packing, op10_near_dedup,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_near_dedup": near_dedup.ORACLE_SQL}
+    return {"op5_url_filter": url_filter.ORACLE_SQL, "op6_exact_topk": exact_topk.ORACLE_SQL, "op10_near_dedup": near_dedup.ORACLE_SQL}
