@@ -15,10 +15,14 @@ HARD = [
 ]
 
 
+WORDS = "Été straße naïve ΑΒΓ ß ﬁ ǅ ÅNGSTRÖM é x ÑANDÚ don't".split()
+
+
 def texts():
     rng = random.Random(7)
     letters = "ab Z.,\n'_1é́Σ\t<|s> \x1c😀ß"
-    return HARD + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    mixed = [" ".join(rng.choice(WORDS) + rng.choice(["", ".", ",", ".\n"]) for _ in range(30)) for _ in range(40)]
+    return HARD + mixed + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(600)]
 
 
 @pytest.mark.parametrize("name,make", [

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .near_dedup import shingle_set
 
 #: At most so many labelled rows teach the model.
 SAMPLE = 20_000
@@ -54,11 +55,11 @@ class Automaton:
 
     def __init__(self, terms: list[str], stems: list[str]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: dict[int, bool] = {}
+        self.ends: dict[int, int] = {}
         self.stems: set[int] = set()
         self.budget: list[int] = [0]
         for term in terms:
-            self.ends[self._insert(term, allowed(term))] = True
+            self.ends[self._insert(term, allowed(term))] = allowed(term)
         for stem in stems:
             self.stems.add(self._insert(stem, 0))
         self.reset()
@@ -127,7 +128,7 @@ class Automaton:
                 break
             if self.stems and not stem:
                 stem = any(e == 0 and n in self.stems for n, e in self.sets[state])
-        edits = [e for n, e in self.sets[state] if n in self.ends and e <= self.budget[n]]
+        edits = [e for n, e in self.sets[state] if e <= self.ends.get(n, -1)]
         if edits and min(edits) == 0:
             return _EXACT
         return _STEM if stem else _FUZZY if edits else _CLEAN
@@ -240,6 +241,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return w
 
 
+def _without_copies(examples: DataFrame) -> DataFrame:
+    """One example of each label and smallest shingle hash: near copies would make their every word look telling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [int(s[0]) >> 1 if len(s := shingle_set(t)) else -1 for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["text", "toxic", "key"])
+
+    return examples.mapInArrow(run, "text string, toxic int, key long").groupBy("toxic", "key").agg(F.min("text").alias("text")).select("text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str], frozenset[str], np.ndarray | None]:
     """(terms, stems, known clean words, weights); weights are None without examples of both labels."""
     spark = docs.sparkSession
@@ -251,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     # at most ``sample`` pairs of numbers: a bounded broadcast that keeps the texts where they are
     picked = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in chosen], "own long, toxic int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    examples = materialize(texts.join(picked, F.col("doc_id") == F.col("own")).select("text", "toxic"), "examples")
+    examples = materialize(_without_copies(texts.join(picked, F.col("doc_id") == F.col("own")).select("text", "toxic")), "examples")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return [], [], frozenset(), None
