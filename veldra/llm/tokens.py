@@ -13,15 +13,15 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries a chunk cache holds before it starts anew (about 100 bytes each).
-CACHE_ENTRIES = 1_000_000
+#: Entries of each of the two generations of a chunk cache (some 350 bytes each).  When the young one is full it
+#: becomes the old one; what is still in use comes back from there.
+CACHE_ENTRIES = 400_000
 #: Chunks above this many characters are encoded but never cached.
 CACHE_CHUNK_CHARS = 64
 _NONE = np.iinfo(np.int64).max
@@ -233,6 +233,7 @@ class ChunkEncoder:
 
     def __init__(self) -> None:
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -240,26 +241,26 @@ class ChunkEncoder:
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         raise NotImplementedError
 
+    def rotate(self) -> None:
+        if len(self.cache) > CACHE_ENTRIES:
+            self.old = dict(self.cache)
+            self.cache.clear()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order.  Null texts count as empty."""
-        step, at = 256, 0
-        while at < len(texts):
-            part = [self.chunks(t) if t else [] for t in texts[at : at + step]]
-            at += step
-            cache = self.cache
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            missing = list(set().union(*part).difference(cache))
-            long = {}
-            for chunk, ids in zip(missing, self.encode_chunks(missing), strict=True):
-                if len(chunk) > CACHE_CHUNK_CHARS:
-                    long[chunk] = ids
+        for at in range(0, len(texts), 256):
+            part = [self.chunks(t) if t else [] for t in texts[at : at + 256]]
+            self.rotate()
+            cache, old, fresh = self.cache, self.old, []
+            for chunk in set().union(*part).difference(cache):
+                if chunk in old:
+                    cache[chunk] = old[chunk]
                 else:
-                    cache[chunk] = ids
-            if long:
-                find = lambda c: cache[c] if c in cache else long[c]
-            else:
-                find = cache.__getitem__
+                    fresh.append(chunk)
+            long = {}
+            for chunk, ids in zip(fresh, self.encode_chunks(fresh), strict=True):
+                (cache if len(chunk) <= CACHE_CHUNK_CHARS else long)[chunk] = ids
+            find = (lambda c: long[c] if c in long else cache[c]) if long else cache.__getitem__
             for chunks in part:
                 yield b"".join(map(find, chunks))
 
@@ -316,7 +317,7 @@ class _Misses(dict):
         self.owner = owner
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.owner.encode_chunks([chunk])[0]
+        ids = self.owner.old.get(chunk) or self.owner.encode_chunk(chunk)
         if len(chunk) <= CACHE_CHUNK_CHARS:
             self[chunk] = ids
         return ids
@@ -337,6 +338,8 @@ class LibraryEncoder(ChunkEncoder):
         self.chunks = self._spaced if spaced else white_chunks  # type: ignore[method-assign]
         self.spaced = spaced
         self.cache = _Misses(self)
+        self.model = self.library.model
+        self.alphabet = dict(enumerate(byte_alphabet()))
 
     def _spaced(self, text: str) -> list[str]:
         """Chunks that keep the space before them; a leading U+0001 marks one that has none.
@@ -355,14 +358,20 @@ class LibraryEncoder(ChunkEncoder):
         chunks[0] = "\x01" + chunks[0]
         return chunks
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+    def encode_chunk(self, chunk: str) -> bytes:
+        # a run of letters is one pre-token, which the library's model takes as it is
         if self.spaced:
-            chunks = [c[1:] if c[:1] == "\x01" else " " + c for c in chunks]
-        got = map(self.library.encode, chunks, repeat(None), repeat(False), repeat(False))
-        return [array("I", e.ids).tobytes() for e in got]
+            if chunk.isalpha():
+                return self._pre_token(b" " + chunk.encode())
+            chunk = chunk[1:] if chunk[:1] == "\x01" else " " + chunk
+        elif chunk.isalpha() and chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk):
+            return self._pre_token(chunk.encode())
+        return array("I", self.library.encode(chunk, None, False, False).ids).tobytes()
+
+    def _pre_token(self, raw: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache.clear()
+            self.rotate()
             yield b"".join(map(self.cache.__getitem__, self.chunks(text))) if text else b""
