@@ -2,18 +2,22 @@
 
 A text is the set of its distinct five-word shingles, kept as 64-bit hashes.  The hash range is cut into
 ``REGISTERS`` equal buckets; a register holds, for the smallest hash of its bucket, the count of leading zeros and
-the next ten bits (16 bits in all).  Four registers make a band.  Texts that agree on a band are candidates; the
+the next ten bits (16 bits in all).  For banding, an empty register borrows from the first full one on a random walk
+of its own (the same for all texts), else short texts would meet in bands with a single shingle.  Five registers
+make a band.  Texts that agree on a band are candidates; the
 share of equal registers, corrected for chance collisions, estimates the Jaccard similarity; candidates that may
 reach the threshold are confirmed on their full sets.
 
-With 40 bands of four registers a pair at the threshold of 0.75 shares no band with a probability of
-(1 - 0.75^4)^40, below 3e-7, and less above it.
+With 51 bands of five registers a pair at the threshold of 0.75 shares no band with a probability of
+(1 - 0.75^5)^51, about 1e-6, and less above it.
 
 Skew.  Texts with equal sets are one node.  Buckets are never expanded into pairs: in each of ``STAR_ROUNDS`` one
-member of a bucket is compared with those members that aren't yet in its component, then leaves the bucket.
-Buckets that still hold two components are finished in blocks of ``BLOCK`` members: each pair of blocks is one
-small task that only looks at pairs from different components and returns a spanning set of the links it finds.
-So no link between components is lost, whatever the size of a bucket.
+member of a bucket, the one with the most company in all its buckets, is compared with those members that aren't
+yet in its component, then leaves the bucket; so the copies of one original meet the original first.  Buckets that
+still hold several components are finished in blocks of ``BLOCK`` members: the members outside the bucket's largest
+component meet each other and that component, one small task for each pair of blocks, which only looks at pairs
+from different components and returns a spanning set of the links it finds.  So no link between components is
+lost, whatever the size of a bucket.
 
 Cases: null and empty texts, and texts of white space, have no shingles and are linked with nothing; fewer than
 five words are one shingle; rows that share a doc_id are judged by their own texts; a null doc_id never names a
@@ -36,13 +40,18 @@ from .common import materialize, mix64
 from .components import contract
 
 WORDS = 5
-REGISTERS, ROWS = 160, 4
+REGISTERS, ROWS = 255, 5
 STAR_ROUNDS = 3
-BLOCK = 200
+BLOCK = 600
+#: One key of so many is finished first; most buckets are done after that.
+FIRST = 8
 #: Standard errors below the threshold at which an estimate is still confirmed.
 SLACK = 6.0
 _FACTORS = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 _BANDS = mix64(np.arange(7001, 7001 + REGISTERS // ROWS, dtype=np.uint64))
+_PLACES = mix64(np.arange(9001, 9001 + ROWS, dtype=np.uint64)) | np.uint64(1)
+#: For each register the order in which it asks the others.
+_WALKS = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1 << 40)).reshape(REGISTERS, -1), axis=1).astype(np.int64)
 
 
 class _WordHashes(dict):
@@ -91,9 +100,25 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """One key per band that isn't empty, from an array of registers (rows are texts)."""
-    return mix64(np.ascontiguousarray(sketch).view(np.uint64) ^ _BANDS)
+def densify(sketch: np.ndarray) -> np.ndarray:
+    """Rows of registers with the empty ones filled from full ones."""
+    out = sketch.copy()
+    row, at = np.nonzero(sketch == 0)
+    for step in range(REGISTERS):
+        if not len(row):
+            break
+        found = sketch[row, _WALKS[at, step]]
+        full = found > 0
+        out[row[full], at[full]] = found[full]
+        row, at = row[~full], at[~full]
+    return out
+
+
+def band_keys(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every band, from rows of registers of which none is all empty."""
+    bands = densify(sketch).reshape(len(sketch), -1, ROWS)
+    keys = mix64((bands.astype(np.uint64) * _PLACES).sum(axis=2, dtype=np.uint64) ^ _BANDS)
+    return np.repeat(np.arange(len(sketch)), keys.shape[1]), keys.ravel().view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,110 +172,122 @@ def _bands(nodes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                row, band = np.nonzero(np.ascontiguousarray(sketch).view(np.uint64))
-                keys = band_keys(sketch)[row, band].view(np.int64)
+                row, keys = band_keys(sketch)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(keys)], ["node", "key"])
 
     return nodes.select("node", "sketch").mapInArrow(run, "node binary, key long")
 
 
-def _candidate_sets(docs: DataFrame, nodes: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(node, n, sketch, hashes) of the nodes that share a bucket: the only texts that are shuffled."""
-    wanted = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"), F.col("node").alias("own"))
+def _candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes: the one place where texts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = shingle_set(text)
-                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == node:
-                        rows.append((node, len(own), registers(own).tobytes(), own.tobytes()))
-                columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "sketch", "hashes"])
+            keep = [hashlib.blake2b(shingle_set(t).tobytes(), digest_size=16).digest() == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return wanted.join(texts, "doc_id").select("own", "text").mapInArrow(run, "node binary, n long, sketch binary, hashes binary").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    found = nodes.select("node", "rep").join(texts, "rep").select("node", "text")
+    # an id may stand for several texts: the digest tells which one is meant, and one row of each is enough
+    return found.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, center) that link."""
+def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, center) that link: first by estimate, then on full sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch", "c_sketch"))
-                near = np.flatnonzero(may_link(a, b, part.column("n").to_numpy(), part.column("c_n").to_numpy(), percent))
-                sound = [i for i in near.tolist() if linked(*(np.frombuffer(part.column(c)[i].as_py(), np.uint64) for c in ("hashes", "c_hashes")), percent)]
-                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(sound, pa.int64())) for c in ("node", "center")], ["node", "center"])
-
-    other = sets.select(*(F.col(c).alias("center" if c == "node" else f"c_{c}") for c in sets.columns))
-    return pairs.join(sets, "node").join(other, "center").mapInArrow(run, "node binary, center binary")
-
-
-def _finish(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components of the buckets (key, node, label) that still hold several, block by block."""
-    sized = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.expr(f"cast(ceil(size / {BLOCK}) as int)")
-    own = F.expr("cast(pmod(xxhash64(node, key), blocks) as int)")
-    dealt = buckets.join(sized, "key").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch", "c_sketch"))
+            keep = may_link(a, b, batch.column("n").to_numpy(), batch.column("c_n").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("node", "center")], ["node", "center"])
+
+    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, center_set = None, np.empty(0, np.uint64)
+        for batch in batches:
+            keep = []
+            for center, text, other in zip(*(batch.column(c).to_pylist() for c in ("center", "text", "c_text")), strict=True):
+                if center != last:  # rows of a center follow each other
+                    last, center_set = center, shingle_set(other)
+                keep.append(linked(shingle_set(text), center_set, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("node", "center")], ["node", "center"])
+
+    of = lambda t: t.select(*(F.col(c).alias("center" if c == "node" else f"c_{c}") for c in t.columns))
+    small = nodes.select("node", "n", "sketch")
+    likely = pairs.join(small, "node").join(of(small), "center").mapInArrow(near, "node binary, center binary")
+    likely = materialize(likely, "likely")
+    return likely.join(texts, "node").join(of(texts), "center").mapInArrow(sure, "node binary, center binary")
+
+
+def _finish(held: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of buckets (key, node, label) that still hold several, block by block."""
+    parts = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    sized = parts.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    ceil = "cast(ceil(({}) / {}) as int)"
+    sized = sized.select("key", F.col("main.label").alias("main"), F.expr(ceil.format("main.size", BLOCK)).alias("mains"), F.expr(ceil.format("all - main.size", BLOCK)).alias("others"))
+    dealt = held.join(sized, "key").withColumn("is_main", F.col("label") == F.col("main"))
+    # blocks 0 to others - 1 hold the other components, those from there on the largest one
+    of = "cast(pmod(xxhash64(node, key), {}) as int)"
+    dealt = dealt.withColumn("own", F.expr(f"if(is_main, others + {of.format('mains')}, {of.format('others')})"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("if(is_main, sequence(0, others - 1), sequence(0, others + mains - 1))")))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
 
     def run(table: pa.Table) -> pa.Table:
-        n, label, own = table.column("n").to_numpy(), table.column("label").to_numpy(), table.column("own").to_numpy()
+        n, label, own = table.column("n").to_numpy(), table.column("label").to_numpy().copy(), table.column("own").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        hashes, nodes = table.column("hashes").to_pylist(), table.column("node").to_pylist()
-        label, split, a, b = label.copy(), own.min() != own.max(), [], []
+        said, nodes_ = table.column("text").to_pylist(), table.column("node").to_pylist()
+        split, sets, a, b = own.min() != own.max(), {}, [], []
+
+        def members(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingle_set(said[x])
+            return sets[x]
+
         for x in range(len(n)):
             apart = np.flatnonzero((label != label[x]) & (np.arange(len(n)) > x) & ((own != own[x]) | (not split)))
             if not len(apart):
                 continue
-            near = apart[may_link(sketch[x], sketch[apart], np.full(len(apart), n[x]), n[apart], percent)]
-            for y in near.tolist():
-                if label[x] != label[y] and linked(np.frombuffer(hashes[x], np.uint64), np.frombuffer(hashes[y], np.uint64), percent):
-                    a.append(nodes[x])
-                    b.append(nodes[y])
+            for y in apart[may_link(sketch[x], sketch[apart], np.full(len(apart), n[x]), n[apart], percent)].tolist():
+                if label[x] != label[y] and linked(members(x), members(y), percent):
+                    a.append(nodes_[x])
+                    b.append(nodes_[y])
                     label[label == label[y]] = label[x]
         return pa.table({"node": pa.array(a, pa.binary()), "center": pa.array(b, pa.binary())})
 
-    filled = dealt.join(sets, "node").select("key", "i", "j", "own", "node", "label", "n", "sketch", "hashes")
-    return filled.groupBy("key", "i", "j").applyInArrow(run, "node binary, center binary")
+    filled = dealt.join(nodes.select("node", "n", "sketch"), "node").join(texts, "node")
+    return filled.select("key", "i", "j", "own", "node", "label", "n", "sketch", "text").groupBy("key", "i", "j").applyInArrow(run, "node binary, center binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each document."""
     rows = materialize(sketches(docs), "sketches")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.where("rep is not null"), "nodes")
     bands = _bands(nodes)
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    buckets = materialize(bands.join(crowded, "key", "left_semi"), "buckets")
-    sets = materialize(_candidate_sets(docs, nodes, buckets), "sets")
-    # labels of candidate nodes; sets lacks those whose id stands for another text as well
-    labels = materialize(sets.select("node").join(nodes.select("node", "rep"), "node").withColumnRenamed("rep", "label"), "labels")
+    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = materialize(bands.join(crowded, "key"), "buckets")
+    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
+    labels = materialize(company.join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("label"), "company"), "labels")
+    texts = materialize(_candidate_texts(docs, nodes.join(labels, "node", "left_semi")), "texts")
+    buckets = buckets.select("key", "node")
 
     def merge(links: DataFrame, labels: DataFrame) -> DataFrame:
         a, b = labels.select("node", F.col("label").alias("a")), labels.select(F.col("node").alias("center"), F.col("label").alias("b"))
         moves = contract(links.join(a, "node").join(b, "center").select("a", "b"))
         moved = labels.join(moves.withColumnRenamed("old", "label"), "label", "left")
-        return materialize(moved.select("node", F.coalesce("new", "label").alias("label")), "labels")
+        return materialize(moved.select("node", F.coalesce("new", "label").alias("label"), "company"), "labels")
 
-    for turn in range(STAR_ROUNDS):
-        held = buckets.select("key", "node").join(labels, "node")
-        lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("lead")
+    for _ in range(STAR_ROUNDS):
+        held = buckets.join(labels, "node")
+        lead = F.max(F.struct("company", F.xxhash64("node").alias("h"), "node", "label")).alias("lead")
         leads = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead).where("lo <> hi")
         leads = leads.select("key", F.col("lead.node").alias("center"), F.col("lead.label").alias("c_label"))
-        open_ = materialize(held.join(leads, "key").where("node <> center"), "open")
+        open_ = materialize(held.join(leads, "key").where("node <> center").select("key", "node", "label", "center", "c_label"), "open")
         pairs = open_.where("label <> c_label").select("node", "center").distinct()
-        labels = merge(materialize(_confirm(pairs, sets, percent), "links"), labels)
+        labels = merge(materialize(_confirm(pairs, nodes, texts, percent), "links"), labels)
         buckets = open_.select("key", "node")
-    held = buckets.join(labels, "node")
-    mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(held.join(mixed, "key", "left_semi").select("key", "node", "label"), "rest")
-    labels = merge(materialize(_finish(rest, sets, percent), "links"), labels)
+    for part in (f"pmod(key, {FIRST}) = 0", f"pmod(key, {FIRST}) <> 0"):
+        rest = materialize(buckets.where(part).join(labels, "node").select("key", "node", "label"), "rest")
+        labels = merge(materialize(_finish(rest, nodes, texts, percent), "links"), labels)
 
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("label", "rep").alias("named"))
     joined = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
