@@ -66,6 +66,11 @@ def test_quotation_counts_apart():
     assert toxicity.features("a grobel here", matcher)[2] > 0 and toxicity.features(None, matcher) == [0.0] * 6
 
 
+def test_terms_among_ordinary_words_are_strict():
+    assert toxicity.crowded_terms(["grobbel", "vexnor"], frozenset(["vexnos", "vexnot", "vexno", "grobbels"])) == {"vexnor"}
+    assert toxicity.Automaton(["vexnor"], [], frozenset(["vexnor"])).match("vexnos") == 0
+
+
 def test_learning_and_hard_rows(spark):
     rng = np.random.default_rng(0)
     words = np.array(["".join(rng.choice(list("lmnorst"), 6)) for _ in range(500)])
@@ -76,13 +81,14 @@ def test_learning_and_hard_rows(spark):
             own[3:3] = ["grobbel", "vexnor"]
         rows.append((i, " ".join(own), 0.5))
         labels.append((i, i % 5 == 0))
-    docs = spark.createDataFrame([*rows, (None, "x", 0.0), (900, None, 0.0), (901, "a grobbel grobbel vexnor b", 0.0), (901, "a grobbel grobbel vexnor b", 0.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([*rows, (None, "x", 0.0), (900, None, 0.0), (901, "a grobbel grobbel vexnor b", 0.0), (901, "a grobbel grobbel vexnor b", 0.0), (902, "a grobel grobbell there vexnur b", 0.0)], "doc_id long, text string, score double")
     gold = spark.createDataFrame([(i, int(t)) for i, t in labels] + [(None, 1), (3, None), (5555, 1), (1, 0)], "doc_id long, toxic int")
     got = toxicity.score(docs, gold).collect()
-    assert len(got) == 404 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert len(got) == 405 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     for r in got:
         if r["doc_id"] is not None and r["doc_id"] < 400:
             assert r["predicted"] == (r["doc_id"] % 5 == 0)
     assert [r["predicted"] for r in got if r["doc_id"] == 901] == [1, 1]
-    assert [r["score"] for r in toxicity.score(docs, gold.where("toxic = 0")).collect()] == [0.0] * 404
+    assert [r["predicted"] for r in got if r["doc_id"] == 902] == [1]
+    assert [r["score"] for r in toxicity.score(docs, gold.where("toxic = 0")).collect()] == [0.0] * 405
     assert toxicity.score(docs.limit(0), gold).count() == 0

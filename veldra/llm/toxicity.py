@@ -3,7 +3,8 @@
 Method: a lexicon of terms and stems is learned from labelled rows and kept in a trie.  The trie is intersected
 with Levenshtein automata, and the product is determinised as words are read: a state is a set of (trie node,
 edits so far), a dead state ends the word after a letter or two, and states are shared by all words.  Terms of 5
-letters allow one edit, of 9 letters two; stems must match exactly.  Each hit is weighed in a window of words:
+letters allow one edit, of 9 letters two; stems, and terms with several ordinary words in reach, must match
+exactly.  As labelled rows may hold no misspellings, each toxic example also teaches with its terms misspelled.  Each hit is weighed in a window of words:
 quotation marks around it and verbs of speech before it speak for a quotation, further hits near it for abuse.  A
 logistic model over these counts gives the score.
 
@@ -37,6 +38,8 @@ SAMPLE = 20_000
 SUPPORT, LIFT, RATIO, TERMS = 0.01, 4.0, 40.0, 300
 STEMS = range(4, 9)
 WINDOW = 8
+#: Ordinary words that may come close to a term that allows edits.
+NEIGHBOURS = 2
 #: Words that introduce speech, and quotation marks.
 SPEECH = frozenset("said says wrote quoted quote called term word titled reported".split())
 QUOTES = "\"'“”„«»‘’"
@@ -53,13 +56,14 @@ class Automaton:
 
     LIMIT = 200_000
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], strict: frozenset[str] = frozenset()):
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, int] = {}
         self.stems: set[int] = set()
         self.budget: list[int] = [0]
         for term in terms:
-            self.ends[self._insert(term, allowed(term))] = allowed(term)
+            edits = 0 if term in strict else allowed(term)
+            self.ends[self._insert(term, edits)] = edits
         for stem in stems:
             self.stems.add(self._insert(stem, 0))
         self.reset()
@@ -139,9 +143,9 @@ class Matcher(dict):
 
     LIMIT = 1_000_000
 
-    def __init__(self, terms: list[str], stems: list[str], known: frozenset[str] = frozenset()):
+    def __init__(self, terms: list[str], stems: list[str], known: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset()):
         super().__init__()
-        self.automaton, self.known = Automaton(terms, stems), known
+        self.automaton, self.known = Automaton(terms, stems, strict), known
 
     def word(self, word: str) -> int:
         kind = self.automaton.match(word)
@@ -252,21 +256,30 @@ def _without_copies(examples: DataFrame) -> DataFrame:
     return examples.mapInArrow(run, "text string, toxic int, key long").groupBy("toxic", "key").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str], frozenset[str], np.ndarray | None]:
-    """(terms, stems, known clean words, weights); weights are None without examples of both labels."""
+def crowded_terms(terms: list[str], known: frozenset[str]) -> frozenset[str]:
+    """Terms that more than ``NEIGHBOURS`` ordinary words come close to."""
+    alone = {t: Automaton([t], []) for t in terms if allowed(t)}
+    return frozenset(t for t, automaton in alone.items() if sum(automaton.match(w) == _FUZZY for w in known) > NEIGHBOURS)
+
+
+Model = tuple[list[str], list[str], frozenset[str], frozenset[str], np.ndarray | None]
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """(terms, stems, known clean words, strict terms, weights); weights are None without examples of both labels."""
     spark = docs.sparkSession
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     own = labels.where("doc_id is not null and toxic is not null").where(~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     if not chosen:
-        return [], [], frozenset(), None
+        return [], [], frozenset(), frozenset(), None
     # at most ``sample`` pairs of numbers: a bounded broadcast that keeps the texts where they are
     picked = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in chosen], "own long, toxic int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     examples = materialize(_without_copies(texts.join(picked, F.col("doc_id") == F.col("own")).select("text", "toxic")), "examples")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return [], [], frozenset(), None
+        return [], [], frozenset(), frozenset(), None
     least = max(3, int(SUPPORT * sizes[1]))
     toxic = {r["term"]: r["n"] for r in _count_terms(examples, 1, None).where(F.col("n") >= least).collect()}
     clean = {r["term"]: r["n"] for r in _count_terms(examples, 0, frozenset(toxic)).collect()}
@@ -280,29 +293,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
 
     # only words within the edits of a term: bounded by the lexicon
     known = frozenset(r["word"] for r in examples.where("toxic = 0").select("text").mapInArrow(near_words, "word string").distinct().collect())
-    matcher = Matcher(terms, stems, known)
+    strict = crowded_terms(terms, known)
+    matcher = Matcher(terms, stems, known, strict)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            labels = batch.column(1).to_pylist()
             found = [features(t, matcher) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            # the same example with its exact terms misspelled
+            bent = [[0.0, x[1], float(np.log1p(np.expm1(x[0]) + np.expm1(x[2]))), *x[3:]] for x, y in zip(found, labels, strict=True) if y and x[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(found + bent, pa.list_(pa.float64())), pa.array(labels + [1] * len(bent), pa.int32())], ["x", "y"])
 
-    # as many rows as the sample has, six numbers each
+    # at most twice the rows of the sample, six numbers each
     got = examples.select("text", "toxic").mapInArrow(rows, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
     x = np.repeat(np.array([r["x"] for r in got]), [r["n"] for r in got], axis=0)
     y = np.repeat(np.array([r["y"] for r in got], float), [r["n"] for r in got])
-    return terms, stems, known, fit_logistic(x, y)
+    return terms, stems, known, strict, fit_logistic(x, y)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The op8 query: (doc_id, held_out, score, predicted)."""
-    terms, stems, known, weights = train(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, stems, known, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value[:3])
+        matcher = Matcher(*shared.value[:4])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), matcher, shared.value[3]), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), matcher, shared.value[4]), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
@@ -319,13 +335,12 @@ def scores(texts: list[str | None], matcher: Matcher, weights: np.ndarray | None
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The pipeline's stage: documents whose score is below 0.5, with all their columns."""
-    terms, stems, known, weights = train(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((terms, stems, known, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value[:3])
+        matcher = Matcher(*shared.value[:4])
         for batch in batches:
-            keep = scores(batch.column(batch.schema.get_field_index("text")).to_pylist(), matcher, shared.value[3]) < 0.5
+            keep = scores(batch.column(batch.schema.get_field_index("text")).to_pylist(), matcher, shared.value[4]) < 0.5
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
