@@ -120,6 +120,15 @@ class VectorEngine:
             raise IndexError_(f"Index {name} not found")
         return meta
 
+    def copy_index(self, name: str, to: str) -> None:
+        """The live rows of an index under another name, with the same options."""
+        meta = self._meta(name)
+        if to.lower() in self.metas:
+            raise IndexError_(f'Index with name "{to}" already exists')
+        fresh = meta | {"name": to, "segment": None, "delta": [], "gone": []}
+        self._build(fresh, self.vectors(name))
+        self._save(fresh)
+
     def drop_index(self, name: str, if_exists: bool = False) -> None:
         if if_exists and name.lower() not in self.metas:
             return
@@ -232,8 +241,9 @@ class VectorEngine:
         """The first index of a table's column for a metric."""
         return next((m["name"] for m in self.metas.values() if (m["table"], m["column"], m["options"]["metric"]) == (table, column, metric.lower())), None)
 
-    def search_many(self, name: str, queries: DataFrame, query_key: str, query_col: str, k: int, ef_search: int | None = None) -> DataFrame:
-        """(query, key, dist, rn) of the k nearest found for every query; distances are exact.
+    def search_many(self, name: str, queries: DataFrame, query_key: str, query_col: str, k: int, ef_search: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+        """(query, key, dist, rn) of the k nearest found for every query; distances are exact.  ``allowed`` is a table
+        of keys: others are walked through but never returned.
 
         Each graph part answers all queries of its blocks; queries are dealt into blocks of bounded size."""
         meta = self._meta(name)
@@ -244,7 +254,12 @@ class VectorEngine:
         asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_col).cast("array<double>").alias("qv")).where("qv is not null")
         blocks = 1 + asked.count() // 4096
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-        graph = self._graph_rows(meta).select("part", each(blocks).alias("block"), "slot", "key", "level", "neighbors", F.col("vec").cast("array<double>").alias("v"), "dead")
+        stored, late_rows = self._graph_rows(meta), self._delta(meta)
+        if allowed is not None:
+            keys = allowed.select(F.col(allowed.columns[0]).cast("long").alias("key")).distinct()
+            stored = stored.join(keys.withColumn("ok", F.lit(True)), "key", "left").withColumn("dead", F.col("dead") | F.col("ok").isNull()).drop("ok")
+            late_rows = late_rows.join(keys, "key", "left_semi")
+        graph = stored.select("part", each(blocks).alias("block"), "slot", "key", "level", "neighbors", F.col("vec").cast("array<double>").alias("v"), "dead")
         dealt = asked.select(each(meta["parts"]).alias("part"), F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.lit(None).cast("int").alias("slot"), F.col("q").alias("key"),
                              F.lit(None).cast("int").alias("level"), F.lit(None).cast("array<array<int>>").alias("neighbors"), F.col("qv").alias("v"), F.lit(False).alias("dead"))
 
@@ -267,7 +282,7 @@ class VectorEngine:
         exact = found.join(self._graph_rows(meta).select("key", "vec"), "key").join(asked, "q")
         exact = exact.select("q", "key", distance(shown, F.col("vec"), F.col("qv"), meta["dim"]).alias("dist"))
         if meta["delta"]:
-            late = knn_pairs(asked, "q", "qv", self._delta(meta), "key", "vec", k, shown).select(F.col("o").alias("q"), F.col("i").alias("key"), "dist")
+            late = knn_pairs(asked, "q", "qv", late_rows, "key", "vec", k, shown).select(F.col("o").alias("q"), F.col("i").alias("key"), "dist")
             exact = exact.unionByName(late)
         rn = F.row_number().over(W.partitionBy("q").orderBy(F.col("dist").asc_nulls_last(), "key"))
         return exact.withColumn("rn", rn).where(F.col("rn") <= k).select(F.col("q").alias("query"), "key", "dist", "rn")

@@ -79,6 +79,8 @@ def match_one_to_one(men: DataFrame, man_key: str, man_vec: str, women: DataFram
     women of each free man; the men whose list is used up get a fresh one over the free women, until one side is
     matched out, so the short lists lose nothing.
     """
+    if men is women:
+        raise ValueError("Can't join with itself, consider copying")
     spark = men.sparkSession
     free_m = men.select(F.col(man_key).cast("long").alias("m"), F.col(man_vec).alias("mv")).where("mv is not null")
     free_w = women.select(F.col(woman_key).cast("long").alias("w"), F.col(woman_vec).alias("wv")).where("wv is not null")
