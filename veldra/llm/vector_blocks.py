@@ -27,10 +27,15 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataF
 
 
 def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, rows of doubles), repeated rows once."""
     ids = table.column("vec_id").to_numpy()
-    flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    own, first = np.unique(np.hstack([ids[:, None].astype(np.float64), flat.reshape(len(ids), -1)]), axis=0, return_index=True) if len(ids) else (None, np.empty(0, int))
-    return ids[first], flat.reshape(len(ids), -1)[first] if len(ids) else np.empty((0, 0))
+    if not len(ids):
+        return ids, np.empty((0, 0))
+    rows = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(len(ids), -1)
+    if len(np.unique(ids)) == len(ids):
+        return ids, rows
+    first = list({(i, r.tobytes()): n for n, (i, r) in reversed(list(enumerate(zip(ids.tolist(), rows, strict=True))))}.values())
+    return ids[first], rows[first]
 
 
 def top_k(rows: DataFrame, is_query, k: int, search: Callable, kind: str) -> DataFrame:
