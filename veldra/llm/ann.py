@@ -4,7 +4,8 @@ Largest inner product becomes nearest distance: rows are scaled to the largest n
 unit length, queries are scaled to unit length.  ``PROJECTIONS`` random directions (orthonormal in groups) give one
 number per vector each, kept as sorted arrays.  For a query, windows around its own projections are opened on all
 arrays at once and widened by virtual rehashing (the radius grows by ``GROWTH``, only the new ends of the windows
-are read); every appearance of a vector is a collision.  Vectors that collide on ``THRESHOLD`` of the directions
+are read); every appearance of a vector is a collision.  The first windows hold more than half of an array, so what
+lies outside them is counted instead and taken off.  Vectors that collide on ``THRESHOLD`` of the directions
 are candidates; widening stops when the block has ``SHARE`` of its vectors, and ``LEAST`` at least, as candidates.
 All candidates are then verified with exact double-precision inner products.
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from .vector_blocks import best_of, clean, top_k
 
-PROJECTIONS, THRESHOLD, GROWTH = 64, 0.8, 1.35
+PROJECTIONS, THRESHOLD = 64, 0.8
+#: The first radius in standard deviations of the projections, and its growth.
+RADIUS, GROWTH = 1.4, 1.08
 SHARE, LEAST = 0.08, 400
 
 
@@ -32,9 +35,9 @@ def directions(dim: int, count: int = PROJECTIONS) -> np.ndarray:
     return np.vstack(blocks)[:count]
 
 
-def inner(rows_t: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products with the columns of ``rows_t``, component by component: equal vectors get equal scores."""
-    return (rows_t * query[:, None]).sum(axis=0)
+def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products row by row: equal vectors get equal scores."""
+    return (rows * query).sum(axis=1)
 
 
 def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -47,35 +50,34 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     q = np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))])
     plane = directions(dim + 1)
     h, hq = padded @ plane.T, q @ plane.T
-    order = np.argsort(h, axis=0, kind="stable").T.astype(np.int32)
+    order = np.ascontiguousarray(np.argsort(h, axis=0, kind="stable").T)
     lines = np.take_along_axis(h.T, order, axis=1)
     need, enough = int(np.ceil(THRESHOLD * len(plane))), min(n, max(LEAST, k + 1, int(SHARE * n)))
     spread = float(h.std()) or 1.0
-    radii = [0.5 * spread * GROWTH**i for i in range(40)]
-    rows_t = np.ascontiguousarray(rows.T)
+    radii = [RADIUS * spread * GROWTH**i for i in range(40)]
     out_q, out_v, out_s = [], [], []
     lo_all, hi_all = {}, {}
     for number in range(len(q)):
-        counts, lo, hi = np.zeros(n, np.int64), None, None
+        counts, lo, hi = np.full(n, len(plane)), None, None
         for step, radius in enumerate(radii):
             if step not in lo_all:  # window ends of all queries at this radius
                 lo_all[step] = np.stack([np.searchsorted(line, hq[:, j] - radius, "left") for j, line in enumerate(lines)], 1)
                 hi_all[step] = np.stack([np.searchsorted(line, hq[:, j] + radius, "right") for j, line in enumerate(lines)], 1)
             new_lo, new_hi = lo_all[step][number].tolist(), hi_all[step][number].tolist()
             if lo is None:
-                parts = [order[j, a:b] for j, (a, b) in enumerate(zip(new_lo, new_hi, strict=True))]
+                parts = [line[:a] for line, a in zip(order, new_lo, strict=True)] + [line[b:] for line, b in zip(order, new_hi, strict=True)]
+                counts -= np.bincount(np.concatenate(parts), minlength=n)
             else:
-                parts = [order[j, a:b] for j, (a, b) in enumerate(zip(new_lo, lo, strict=True))]
-                parts += [order[j, a:b] for j, (a, b) in enumerate(zip(hi, new_hi, strict=True))]
+                parts = [line[a:b] for line, a, b in zip(order, new_lo, lo, strict=True)] + [line[a:b] for line, a, b in zip(order, hi, new_hi, strict=True)]
+                counts += np.bincount(np.concatenate(parts), minlength=n)
             lo, hi = new_lo, new_hi
-            counts += np.bincount(np.concatenate(parts), minlength=n)
             chosen = np.flatnonzero(counts >= need)
             if len(chosen) >= enough:
                 break
         else:
             chosen = np.arange(n)
         chosen = chosen[ids[chosen] != query_ids[number]]
-        scores = inner(rows_t[:, chosen], queries[number])
+        scores = inner(rows[chosen], queries[number])
         best = best_of(scores, ids[chosen], k)
         out_q.append(np.full(len(best), query_ids[number]))
         out_v.append(ids[chosen][best])
