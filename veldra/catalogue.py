@@ -463,10 +463,26 @@ def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulk.cluster(vectors(spark, sf_dir), "vec_id", "embedding").select("vec_id", "centroid", F.round("dist", 6).alias("dist"))
 
 
-@query("match_one_to_one")
+#: The closest free pair, again and again.
+MATCH_SQL = f"""
+WITH RECURSIVE p AS (
+  SELECT a.vec_id AS m, b.vec_id AS w, list_distance(a.v, b.v) AS d FROM ({E_SQL} WHERE label < 2) a, ({E_SQL} WHERE label IN (2, 3)) b
+), r AS (
+  SELECT * FROM (SELECT m, w, d, [m] AS ms, [w] AS ws FROM p ORDER BY d, m, w LIMIT 1)
+  UNION ALL
+  SELECT * FROM (
+    SELECT p.m, p.w, p.d, list_append(r.ms, p.m) AS ms, list_append(r.ws, p.w) AS ws FROM r, p
+    WHERE NOT list_contains(r.ms, p.m) AND NOT list_contains(r.ws, p.w) ORDER BY p.d, p.m, p.w LIMIT 1)
+)
+SELECT m AS man, w AS woman, round(d, 6) AS dist FROM r
+"""
+
+
+@query("match_one_to_one", MATCH_SQL)
 def match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = vectors(spark, sf_dir)
-    return bulk.match_one_to_one(df.where("label < 2"), "vec_id", "embedding", df.where("label in (2, 3)"), "vec_id", "embedding")
+    got = bulk.match_one_to_one(df.where("label < 2"), "vec_id", "embedding", df.where("label in (2, 3)"), "vec_id", "embedding")
+    return got.select("man", "woman", F.round("dist", 6).alias("dist"))
 
 
 # --- indexes ----------------------------------------------------------------------------------------------------

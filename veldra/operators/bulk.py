@@ -71,51 +71,45 @@ def cluster(vectors: DataFrame, key: str, column: str, level_share: int = 16, ma
     return near.select(F.col("k").alias(key), F.col("c").alias("centroid"), "dist")
 
 
-def match_one_to_one(men: DataFrame, man_key: str, man_vec: str, women: DataFrame, woman_key: str, woman_vec: str, metric: str = "l2", candidates: int = 32) -> DataFrame:
+def match_one_to_one(men: DataFrame, man_key: str, man_vec: str, women: DataFrame, woman_key: str, woman_vec: str, metric: str = "l2", candidates: int = 16) -> DataFrame:
     """(man, woman, dist): the stable one-to-one matching; ties go to the smaller keys.
 
     Both sides rank by one symmetric distance, so the matching is the one that takes the closest free pair again and
-    again.  Each round takes all pairs that are each other's best at once.  Candidates are the ``candidates`` nearest
-    women of each free man; the men whose list is used up get a fresh one over the free women, until one side is
-    matched out, so the short lists lose nothing.
+    again.  Each round takes all pairs that are each other's best at once.  Everyone keeps a list of the
+    ``candidates`` nearest of the other side; the first free entry of a list is its owner's true best, so short lists
+    lose nothing.  When no pair is left in the lists, those still free get fresh ones.
     """
     if men is women:
         raise ValueError("Can't join with itself, consider copying")
     spark = men.sparkSession
     free_m = men.select(F.col(man_key).cast("long").alias("m"), F.col(man_vec).alias("mv")).where("mv is not null")
     free_w = women.select(F.col(woman_key).cast("long").alias("w"), F.col(woman_vec).alias("wv")).where("wv is not null")
-    folder = f"{working_dir(spark)}/match-{uuid.uuid4().hex}"
-    turn, done = 0, spark.createDataFrame([], "m long, w long, dist double")
+    folder, turn = f"{working_dir(spark)}/match-{uuid.uuid4().hex}", 0
 
     def keep(df: DataFrame) -> DataFrame:
         nonlocal turn
         turn += 1
-        path = f"{folder}/{turn}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(f"{folder}/{turn}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{turn}")
 
+    done: list[DataFrame] = []
     while not free_m.isEmpty() and not free_w.isEmpty():
-        pairs = keep(knn_pairs(free_m, "m", "mv", free_w, "w", "wv", candidates, metric).select(F.col("o").alias("m"), F.col("i").alias("w"), "dist", "rn"))
-        # the last listed distance of a man bounds all he has not listed
-        full = free_w.count() > candidates
+        by_m = knn_pairs(free_m, "m", "mv", free_w, "w", "wv", candidates, metric).select(F.col("o").alias("m"), F.col("i").alias("w"), "dist")
+        by_w = knn_pairs(free_w, "w", "wv", free_m, "m", "mv", candidates, metric).select(F.col("i").alias("m"), F.col("o").alias("w"), "dist")
+        by_m, by_w, got = keep(by_m), keep(by_w), []
         while True:
-            best_m = F.row_number().over(W.partitionBy("m").orderBy("dist", "w"))
-            best_w = F.row_number().over(W.partitionBy("w").orderBy("dist", "m"))
-            taken = keep(pairs.withColumn("a", best_m).withColumn("b", best_w).where("a = 1 and b = 1").select("m", "w", "dist"))
-            if full:
-                # a woman may be closer to a man whose list doesn't reach her: only pairs below every man's reach are safe
-                reach = pairs.groupBy("m").agg(F.max("dist").alias("reach")).agg(F.min("reach").alias("least")).first()["least"]
-                taken = taken.where(F.col("dist") < F.lit(reach)) if reach is not None else taken
-            taken = keep(taken)
+            first_m = by_m.groupBy("m").agg(F.min(F.struct("dist", "w")).alias("b")).select("m", F.col("b.w").alias("w"), F.col("b.dist").alias("dist"))
+            first_w = by_w.groupBy("w").agg(F.min(F.struct("dist", "m")).alias("b")).select(F.col("b.m").alias("m"), "w")
+            taken = keep(first_m.join(first_w, ["m", "w"]))
             if taken.isEmpty():
                 break
-            done = keep(done.unionByName(taken))
-            pairs = keep(pairs.join(taken.select("m"), "m", "left_anti").join(taken.select("w"), "w", "left_anti").select("m", "w", "dist", "rn"))
-            free_m = keep(free_m.join(taken.select("m"), "m", "left_anti"))
-            free_w = keep(free_w.join(taken.select("w"), "w", "left_anti"))
-            if full and not free_m.join(pairs.select("m").distinct(), "m", "left_anti").isEmpty():
-                break
-        if pairs.isEmpty() and not full:
-            break
-        candidates *= 2
-    return done.select(F.col("m").alias("man"), F.col("w").alias("woman"), "dist")
+            got.append(taken)
+            rest = lambda pairs: pairs.join(taken.select("m"), "m", "left_anti").join(taken.select("w"), "w", "left_anti").select("m", "w", "dist")  # noqa: B023, E731
+            by_m, by_w = keep(rest(by_m)), keep(rest(by_w))
+        for taken in got:
+            free_m, free_w = free_m.join(taken.select("m"), "m", "left_anti"), free_w.join(taken.select("w"), "w", "left_anti")
+        free_m, free_w, done = keep(free_m), keep(free_w), done + got
+    out = spark.createDataFrame([], "m long, w long, dist double")
+    for taken in done:
+        out = out.unionByName(taken)
+    return out.select(F.col("m").alias("man"), F.col("w").alias("woman"), "dist")
