@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldra.engine import GATE, VectorEngine
+from veldra.engine import VectorEngine
 from veldra.operators import bulk, knn
 from veldra.operators.graph import Graph, distances
+from veldra.plans import messages
 from veldra.plans.options import IndexError_, IndexOptions
 from veldra.plans.rewrite import rewrite_expression, run_sql
 
@@ -111,7 +112,7 @@ def test_life_cycle_over_restarts(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "id long, vec array<float>")
     with pytest.raises(IndexError_) as error:
         VectorEngine(spark, path).create_index("i", rows(), "vec", "id")
-    assert str(error.value) == GATE
+    assert str(error.value) == messages.PERSISTENCE
     conf = {"hnsw_enable_experimental_persistence": True}
     engine = VectorEngine(spark, path, conf)
     engine.create_index("i", rows(), "vec", "id", "t1")

@@ -49,7 +49,7 @@ def first_vector(df: DataFrame) -> list[float]:
 
 E_SQL = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
 S_SQL = "SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (1 + vec_id % 5)) AS v, label FROM embeddings"
-#: DuckDB's list functions don't take null lists, so the SQL keeps the vector and masks the distance.
+#: The list functions of the checking engine take no null lists, so the SQL keeps the vector and masks the distance.
 MASKED = "CASE WHEN {}.vec_id % 7 <> 0 THEN list_distance({}.v, {}.v) END"
 Z = "list_zip(e.v, q.v)"
 
@@ -548,6 +548,7 @@ def index_choice_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m, own.choose("embeddings", "embedding", m)) for m in ("cosine", "ip", "l2sq")], "metric string, chosen string")
 
 
+#: Wrong options and what is said about them.
 WRONG = [
     ("metric_kind", {"metric": 1}, "HNSW index 'metric' must be a string"),
     ("metric_name", {"metric": "foo"}, "HNSW index 'metric' must be one of: 'cosine', 'ip', 'l2sq'"),

@@ -24,6 +24,7 @@ from .functions.metrics import INDEX_METRICS, distance
 from .functions.vector import vector
 from .operators.graph import Graph
 from .operators.knn import knn_pairs, knn_scan
+from .plans import messages
 from .plans.options import MAX_K, IndexError_, IndexOptions
 from .sources import files
 
@@ -34,7 +35,6 @@ INFO = (
     "catalog_name string, schema_name string, index_name string, table_name string, metric string, dimensions long, count long, capacity long, "
     "approx_memory_usage long, levels long, levels_stats array<struct<nodes:long,edges:long,max_edges:long,allocated_bytes:long>>"
 )
-GATE = "HNSW indexes can only be created in in-memory databases, or when the configuration option 'hnsw_enable_experimental_persistence' is set to true."
 
 
 class VectorEngine:
@@ -57,22 +57,22 @@ class VectorEngine:
     def create_index(self, name: str, df: DataFrame, column: str | list[str], key: str, table: str = "", if_not_exists: bool = False, unique: bool = False, part_rows: int = PART_ROWS, **options) -> None:
         """Build an index of one fixed-size float vector column; rows with a null vector are left out."""
         if unique:
-            raise IndexError_("HNSW indexes do not support unique or primary key constraints")
+            raise IndexError_(messages.UNIQUE)
         if self.persistent and not self.settings["hnsw_enable_experimental_persistence"]:
-            raise IndexError_(GATE)
+            raise IndexError_(messages.PERSISTENCE)
         parsed = IndexOptions.parse(options)
         columns = [column] if isinstance(column, str) else list(column)
         if len(columns) != 1:
-            raise IndexError_("HNSW indexes can only be created over a single column of keys.")
+            raise IndexError_(messages.ONE_COLUMN)
         kind = df.schema[columns[0]].dataType if columns[0] in df.columns else df.select(F.expr(columns[0])).schema[0].dataType
         if not isinstance(kind, T.ArrayType):
-            raise IndexError_("HNSW index keys must be of type FLOAT[N]")
+            raise IndexError_(messages.KEY_ARRAY)
         if not isinstance(kind.elementType, T.FloatType):
-            raise IndexError_("HNSW index key type must be one of: 'FLOAT[N]'")
+            raise IndexError_(messages.KEY_SCALAR)
         if name.lower() in self.metas:
             if if_not_exists:
                 return
-            raise IndexError_(f'Index with name "{name}" already exists')
+            raise IndexError_(messages.NAME_TAKEN.format(name))
         rows = df.select(F.col(key).cast("long").alias("key"), F.expr(columns[0]).alias("vec")).where("vec is not null")
         meta = {"name": name, "table": table, "column": columns[0], "key": key, "options": parsed.as_dict(), "dim": None, "part_rows": part_rows, "parts": 0, "segment": None, "delta": [], "gone": []}
         self._build(meta, rows)
@@ -84,11 +84,11 @@ class VectorEngine:
             F.count_if(F.exists("vec", lambda x: x.isNull())).alias("holes"), F.count_if(F.col("key").isNull()).alias("keyless"),
         ).first()
         if shape["holes"] or shape["keyless"]:
-            raise IndexError_("Invalid data in HNSW index construction: Cannot construct index with NULL values.")
+            raise IndexError_(messages.NULL_VECTOR)
         if shape["n"] and (shape["lo"] != shape["hi"] or (meta["dim"] or shape["lo"]) != shape["lo"]):
             raise IndexError_("all vectors of an index must have the same dimension")
         if not rows.groupBy("key").count().where("count > 1").isEmpty():
-            raise IndexError_("Duplicate keys not allowed in high-level wrappers")
+            raise IndexError_(messages.DUPLICATE_KEYS)
         meta["dim"] = meta["dim"] or shape["lo"]
         meta["parts"] = max(1, -(-shape["n"] // meta["part_rows"]))
         o = meta["options"]
@@ -117,14 +117,14 @@ class VectorEngine:
     def _meta(self, name: str) -> dict:
         meta = self.metas.get(name.split(".")[-1].lower())
         if meta is None:
-            raise IndexError_(f"Index {name} not found")
+            raise IndexError_(messages.NOT_FOUND.format(name))
         return meta
 
     def copy_index(self, name: str, to: str) -> None:
         """The live rows of an index under another name, with the same options."""
         meta = self._meta(name)
         if to.lower() in self.metas:
-            raise IndexError_(f'Index with name "{to}" already exists')
+            raise IndexError_(messages.NAME_TAKEN.format(to))
         fresh = meta | {"name": to, "segment": None, "delta": [], "gone": []}
         self._build(fresh, self.vectors(name))
         self._save(fresh)
@@ -144,7 +144,7 @@ class VectorEngine:
         rows = df.select(F.col(meta["key"]).cast("long").alias("key"), F.expr(meta["column"]).cast("array<float>").alias("vec")).where("vec is not null")
         wrong = F.lit(False) if meta["dim"] is None else F.size("vec") != meta["dim"]
         if not rows.where(wrong | F.exists("vec", lambda x: x.isNull()) | F.col("key").isNull()).isEmpty():
-            raise IndexError_("Invalid data in HNSW index construction: Cannot construct index with NULL values.")
+            raise IndexError_(messages.NULL_VECTOR)
         path = f"{self.root}/{meta['name']}/delta-{uuid.uuid4().hex}"
         rows.write.parquet(path)
         if meta["dim"] is None:
@@ -179,7 +179,7 @@ class VectorEngine:
     def compact(self, name: str) -> None:
         """Rebuild over the live rows; marked rows go for good."""
         if not isinstance(name, str):
-            raise IndexError_("Expected a string argument for hnsw_compact_index")
+            raise IndexError_(messages.COMPACT_KIND)
         meta = dict(self._meta(name))
         old = [meta["segment"], *(p for p, _ in meta["delta"]), *meta["gone"]]
         self._build(meta, self.vectors(name))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.metrics import distance, exact_pairs
+from ..plans import messages
 from ..sources.files import working_dir
 from .knn import BLOCK_ROWS, knn_pairs
 
@@ -46,10 +47,10 @@ def cluster(vectors: DataFrame, key: str, column: str, level_share: int = 16, ma
     into its nearest neighbour until few enough are left: a loop over centroids, of which there are few."""
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(column).alias("v")).where("v is not null")
     if rows.isEmpty():
-        raise ValueError("No clusters to identify")
+        raise ValueError(messages.NO_CLUSTERS)
     centroids = rows.where(F.pmod(F.col("k") * 2654435761 + 12345, F.lit(level_share)) == 0)
     if centroids.isEmpty():
-        raise ValueError("Index too small to cluster!")
+        raise ValueError(messages.TOO_SMALL)
     own = centroids.select(F.col("k").alias("ck"), F.col("v").alias("cv"))
     near = knn_pairs(rows, "k", "v", own, "ck", "cv", 1, metric).select(F.col("o").alias("k"), F.col("i").alias("c"), "dist")
     if max_clusters is not None and max_clusters > 0:
@@ -80,7 +81,7 @@ def match_one_to_one(men: DataFrame, man_key: str, man_vec: str, women: DataFram
     lose nothing.  When no pair is left in the lists, those still free get fresh ones.
     """
     if men is women:
-        raise ValueError("Can't join with itself, consider copying")
+        raise ValueError(messages.SELF_JOIN)
     spark = men.sparkSession
     free_m = men.select(F.col(man_key).cast("long").alias("m"), F.col(man_vec).alias("mv")).where("mv is not null")
     free_w = women.select(F.col(woman_key).cast("long").alias("w"), F.col(woman_vec).alias("wv")).where("wv is not null")

@@ -22,9 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.metrics import RANKINGS, distance, exact_pairs
+from ..plans import messages
 
 #: An inner side of at most so many bytes is broadcast; larger ones are dealt into blocks of so many rows.
 BROADCAST_BYTES, BLOCK_ROWS = 32 << 20, 4096
+#: An outer side that is planned to hold less is dealt out before the search.
+SMALL_BYTES = 64 << 20
 #: Metric names of the join macros: value, and whether large is near.
 MACRO_METRICS = {"l2sq": "l2", "l2": "l2", "cosine": "cosine_similarity", "cos": "cosine_similarity", "ip": "inner_product"}
 
@@ -152,8 +155,9 @@ def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame
                     q, q_given = _matrix(batch.column(1))
                     yield answers(batch.column(0).to_numpy(), q, q_given, x, x_given, x_keys)
 
-        # every outer row is answered at once, so the window below needs no second opinion
-        spread = left if left.rdd.getNumPartitions() > 1 else left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o")
+        # a small outer side may be one file and so one task: dealing it out costs little.  A large one stays where it is
+        small = int(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SMALL_BYTES
+        spread = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o") if small else left
         found = spread.mapInArrow(scan, schema)
     else:
         blocks = 1 + size["n"] // BLOCK_ROWS
@@ -190,7 +194,7 @@ def knn_join(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame,
 
 def _macro(metric: str) -> str:
     if metric not in MACRO_METRICS:
-        raise ValueError("Unknown metric")
+        raise ValueError(messages.METRIC_UNKNOWN)
     return MACRO_METRICS[metric]
 
 

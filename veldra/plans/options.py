@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+from . import messages
+
 METRICS = ("cosine", "ip", "l2sq")
 MAX_K = 2048
 
@@ -31,18 +33,18 @@ class IndexOptions:
         for key, value in given.items():
             name = names.get(key.lower())
             if name is None:
-                raise IndexError_(f"Unknown option for HNSW index: '{key}'")
+                raise IndexError_(messages.OPTION_UNKNOWN.format(key))
             if name == "metric":
                 if not isinstance(value, str):
-                    raise IndexError_("HNSW index 'metric' must be a string")
+                    raise IndexError_(messages.METRIC_KIND)
                 if value.lower() not in METRICS:
-                    raise IndexError_("HNSW index 'metric' must be one of: " + ", ".join(f"'{m}'" for m in METRICS))
+                    raise IndexError_(messages.METRIC_NAME.format(", ".join(f"'{m}'" for m in METRICS)))
                 value = value.lower()
             else:
                 if not isinstance(value, int) or isinstance(value, bool):
-                    raise IndexError_(f"HNSW index '{name}' must be an integer")
+                    raise IndexError_(messages.OPTION_KIND.format(name))
                 if value < least[name]:
-                    raise IndexError_(f"HNSW index '{name}' must be at least {least[name]}")
+                    raise IndexError_(messages.OPTION_LEAST.format(name, least[name]))
             found[name] = value
         if "M" in found and "M0" not in found:
             found["M0"] = 2 * found["M"]
