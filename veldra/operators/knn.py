@@ -156,7 +156,7 @@ def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame
                     yield answers(batch.column(0).to_numpy(), q, q_given, x, x_given, x_keys)
 
         # a small outer side may be one file and so one task: dealing it out costs little.  A large one stays where it is
-        small = int(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SMALL_BYTES
+        small = int(str(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
         spread = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o") if small else left
         found = spread.mapInArrow(scan, schema)
     else:
