@@ -267,7 +267,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     buckets = materialize(bands.join(crowded, "key"), "buckets")
     company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
     labels = materialize(company.join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("label"), "company"), "labels")
-    texts = materialize(_candidate_texts(docs, nodes.join(labels, "node", "left_semi")), "texts")
+    # the rounds below only ever join nodes that share a bucket
+    sharing = materialize(nodes.join(labels, "node", "left_semi"), "sharing")
+    texts = materialize(_candidate_texts(docs, sharing), "texts")
     buckets = buckets.select("key", "node")
 
     def merge(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,11 +285,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         leads = leads.select("key", F.col("lead.node").alias("center"), F.col("lead.label").alias("c_label"))
         open_ = materialize(held.join(leads, "key").where("node <> center").select("key", "node", "label", "center", "c_label"), "open")
         pairs = open_.where("label <> c_label").select("node", "center").distinct()
-        labels = merge(materialize(_confirm(pairs, nodes, texts, percent), "links"), labels)
+        labels = merge(materialize(_confirm(pairs, sharing, texts, percent), "links"), labels)
         buckets = open_.select("key", "node")
     for part in (f"pmod(key, {FIRST}) = 0", f"pmod(key, {FIRST}) <> 0"):
         rest = materialize(buckets.where(part).join(labels, "node").select("key", "node", "label"), "rest")
-        labels = merge(materialize(_finish(rest, nodes, texts, percent), "links"), labels)
+        labels = merge(materialize(_finish(rest, sharing, texts, percent), "links"), labels)
 
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("label", "rep").alias("named"))
     joined = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
