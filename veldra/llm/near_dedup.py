@@ -57,7 +57,7 @@ _WALKS = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np
 class _WordHashes(dict):
     """word -> 64-bit hash; starts anew when it grows too large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -141,7 +141,7 @@ class Automaton:
 class Matcher(dict):
     """Chunk of text -> kind of hit, remembered; words seen in clean examples are no misspellings."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, terms: list[str], stems: list[str], known: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset()):
         super().__init__()
