@@ -215,6 +215,28 @@ def distance(metric: str | Callable[[Column, Column], Column], a: Column, b: Col
     return pair.checked(_DENSE[name](pair))
 
 
+def constant_distance(metric: str, column: str, query: list[float]) -> Column:
+    """A ranking metric against a constant vector, parsed from one text: building it term by term costs more than a
+    small query takes to run."""
+    query = [float(x) for x in query]
+    if not 0 < len(query) <= UNROLL_MAX or not np.isfinite(query).all():
+        return distance(metric, F.col(column), query)
+    name = f"`{column}`"
+    each = [f"cast({name}[{i}] AS DOUBLE)" for i in range(len(query))]
+    constant = [f"({x!r}D)" for x in query]
+    dot = " + ".join(f"{x} * {c}" for x, c in zip(each, constant, strict=True))
+    if metric == "l2":
+        value = "sqrt(" + " + ".join(f"({x} - {c}) * ({x} - {c})" for x, c in zip(each, constant, strict=True)) + ")"
+    elif metric in ("inner_product", "negative_inner_product"):
+        value = f"-({dot})" if metric == "negative_inner_product" else dot
+    else:
+        norm, own = "sqrt(" + " + ".join(f"{x} * {x}" for x in each) + ")", float(np.sqrt(sum(x * x for x in query)))
+        value = f"CASE WHEN {norm} = 0 OR {own!r}D = 0 THEN double('NaN') ELSE ({dot}) / ({norm} * {own!r}D) END"
+        value = f"1 - ({value})" if metric == "cosine_distance" else value
+    wrong, hole = (f"cast(raise_error('vectors must {text}') AS DOUBLE)" for text in ("have the same dimension", "not contain NULL"))
+    return F.expr(f"CASE WHEN {name} IS NULL THEN cast(NULL AS DOUBLE) WHEN size({name}) <> {len(query)} THEN {wrong} ELSE coalesce({value}, {hole}) END")
+
+
 def cosine_i8(a: Column, b: Column, dim: int | None = None) -> Column:
     """Cosine distance of byte vectors; 0 where the product sum is 0."""
     p = Pair(a, b, dim)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.metrics import RANKINGS, distance, exact_pairs
+from ..functions.metrics import RANKINGS, constant_distance, distance, exact_pairs
 from ..plans import messages
 
 #: An inner side of at most so many bytes is broadcast; larger ones are dealt into blocks of so many rows.
@@ -34,16 +34,15 @@ MACRO_METRICS = {"l2sq": "l2", "l2": "l2", "cosine": "cosine_similarity", "cos":
 
 def knn_scan(
     df: DataFrame, column: str, query, k: int, key: str, metric: str = "l2", where: Column | str | None = None, offset: int = 0, columns: list[str] | None = None,
-    name: str = "dist", dim: int | None = None, post_filter: bool = False,
+    name: str = "dist", post_filter: bool = False,
 ) -> DataFrame:
     """The k rows nearest to a constant vector, nearest first.  ``where`` filters before the limit, or with
     ``post_filter`` after it.  ``columns`` may leave out the distance or name it anywhere."""
     if k < 0 or offset < 0:
         raise ValueError("k and offset must not be negative")
-    dim = len(query) if dim is None else dim
     ranking = RANKINGS[metric]
     rows = df if where is None or post_filter else df.where(where)
-    value = distance(ranking.value, F.col(column), list(query), dim)
+    value = constant_distance(ranking.value, column, list(query))
     rows = rows.withColumn(name, value)
     order = F.col(name).desc_nulls_last() if ranking.descending else F.col(name).asc_nulls_last()
     rows = rows.orderBy(order, F.col(key)).offset(offset).limit(k) if offset else rows.orderBy(order, F.col(key)).limit(k)
