@@ -75,3 +75,10 @@ def test_empty_table_and_boosting(spark):
     margins = [start + sum(pii._run(t, x) for t in trees) for x, _, _ in rows]
     limits = pii.thresholds(rows, margins)
     assert all((m >= limits[x["gen"]]) == bool(x["cue"]) for (x, _, _), m in zip(rows, margins, strict=True))
+
+
+def test_no_python_in_the_plan(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.c, call +1 (555) 123-4567")], "doc_id long, text string")
+    for df in (pii._tables(docs), pii.digests(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
