@@ -67,3 +67,21 @@ def test_large_random_recall():
     best = np.argsort(-scores, axis=1)[:, :20]
     found = {(a, b) for a, b in zip(found_q.tolist(), found_v.tolist(), strict=True)}
     assert sum((int(a), int(b)) in found for a, row in zip(q, best, strict=True) for b in row) >= 0.9 * best.size
+
+
+@pytest.mark.parametrize("norms", ["one of 3", "one of 10", "gamma", "lognormal"])
+def test_recall_with_skewed_norms(norms):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms.startswith("one of "):
+        x[5] *= float(norms[7:])
+    else:
+        x *= rng.gamma(2, size=(8192, 1)) if norms == "gamma" else rng.lognormal(0, 0.3, size=(8192, 1))
+    q = np.arange(0, 8192, 256)
+    found_q, found_v, _ = ann.search(np.arange(8192), x, q, x[q], 20)
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    found = set(zip(found_q.tolist(), found_v.tolist(), strict=True))
+    assert sum((int(a), int(b)) in found for a, row in zip(q, best, strict=True) for b in row) >= 0.95 * best.size

@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by collision counting (operator 1).
 
-Largest inner product becomes nearest distance: rows are scaled to the largest norm of their block and padded to
-unit length, queries are scaled to unit length.  ``PROJECTIONS`` random directions (orthonormal in groups) give one
+Largest inner product becomes nearest distance: the rows of a block are dealt into bands of like norm, each is
+searched on its own, longest first, until the norm of a band rules it out.  Rows are scaled to the largest norm of
+their band and padded to unit length, queries are scaled to unit length.  ``PROJECTIONS`` random directions (orthonormal in groups) give one
 number per vector each, kept as sorted arrays.  For a query, windows around its own projections are opened on all
 arrays at once and widened by virtual rehashing (the radius grows by ``GROWTH``, only the new ends of the windows
 are read); every appearance of a vector is a collision.  The first windows hold more than half of an array, so what
 lies outside them is counted instead and taken off.  Vectors that collide on ``THRESHOLD`` of the directions
-are candidates; widening stops when the block has ``SHARE`` of its vectors, and ``LEAST`` at least, as candidates.
+are candidates; widening stops when the band has ``SHARE`` of its vectors, and ``LEAST`` at least, as candidates.
 All candidates are then verified with exact double-precision inner products.
 
 Cases: vectors that are null, empty or zero, or hold null or non-finite components take no part, nor do rows with
@@ -26,6 +27,8 @@ PROJECTIONS, THRESHOLD = 64, 0.8
 #: The first radius in standard deviations of the projections, and its growth.
 RADIUS, GROWTH = 1.4, 1.08
 SHARE, LEAST = 0.08, 400
+#: The largest norm of a band over its smallest.
+BAND = 1.15
 
 
 def directions(dim: int, count: int = PROJECTIONS) -> np.ndarray:
@@ -40,24 +43,37 @@ def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1)
 
 
-def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+def bands(norms: np.ndarray) -> list[np.ndarray]:
+    """Places of the rows by falling norm, cut where the norm falls below 1 / ``BAND`` of the band's largest; a band
+    takes ``LEAST`` rows whatever their norms, as so few are all verified."""
+    falling, out, at = np.argsort(-norms, kind="stable"), [], 0
+    while at < len(falling):
+        within = int(np.searchsorted(-norms[falling], -norms[falling[at]] / BAND, "right"))
+        out.append(falling[at : max(within, at + LEAST)])
+        at += len(out[-1])
+    return out
+
+
+def candidates(rows: np.ndarray, q: np.ndarray, k: int):
+    """The search of one band: a function from the number of a query to the places of its candidates."""
     n, dim = rows.shape
-    scale = np.abs(rows).max()
-    norms = np.linalg.norm(rows / scale, axis=1)
+    enough = min(n, max(LEAST, k + 1, int(SHARE * n)))
+    if enough == n:
+        return lambda number: np.arange(n)
+    rows = rows / np.abs(rows).max()
+    norms = np.linalg.norm(rows, axis=1)
     top = norms.max()
-    padded = np.hstack([rows / scale / top, np.sqrt(np.maximum(0, 1 - (norms / top) ** 2))[:, None]])
-    q = queries / np.abs(queries).max(axis=1, keepdims=True)
-    q = np.hstack([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))])
+    padded = np.hstack([rows / top, np.sqrt(np.maximum(0, 1 - (norms / top) ** 2))[:, None]])
     plane = directions(dim + 1)
-    h, hq = padded @ plane.T, q @ plane.T
+    h, hq = padded @ plane.T, np.hstack([q, np.zeros((len(q), 1))]) @ plane.T
     order = np.ascontiguousarray(np.argsort(h, axis=0, kind="stable").T)
     lines = np.take_along_axis(h.T, order, axis=1)
-    need, enough = int(np.ceil(THRESHOLD * len(plane))), min(n, max(LEAST, k + 1, int(SHARE * n)))
+    need = int(np.ceil(THRESHOLD * len(plane)))
     spread = float(h.std()) or 1.0
     radii = [RADIUS * spread * GROWTH**i for i in range(40)]
-    out_q, out_v, out_s = [], [], []
     lo_all, hi_all = {}, {}
-    for number in range(len(q)):
+
+    def of(number: int) -> np.ndarray:
         counts, lo, hi = np.full(n, len(plane)), None, None
         for step, radius in enumerate(radii):
             if step not in lo_all:  # window ends of all queries at this radius
@@ -73,11 +89,29 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
             lo, hi = new_lo, new_hi
             chosen = np.flatnonzero(counts >= need)
             if len(chosen) >= enough:
+                return chosen
+        return np.arange(n)
+
+    return of
+
+
+def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    peaks = np.abs(rows).max(axis=1)
+    norms = peaks * np.linalg.norm(rows / peaks[:, None], axis=1)
+    q = queries / np.abs(queries).max(axis=1, keepdims=True)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    lengths = np.linalg.norm(queries, axis=1)
+    parts = [(own, float(norms[own[0]]), candidates(rows[own], q, k)) for own in bands(norms)]
+    out_q, out_v, out_s = [], [], []
+    for number in range(len(q)):
+        chosen, scores = np.empty(0, np.int64), np.empty(0)
+        for own, longest, of in parts:
+            # no row of this band or a later one can reach the k-th score
+            if len(scores) >= k and np.partition(scores, len(scores) - k)[len(scores) - k] > longest * lengths[number] * (1 + 1e-9):
                 break
-        else:
-            chosen = np.arange(n)
-        chosen = chosen[ids[chosen] != query_ids[number]]
-        scores = inner(rows[chosen], queries[number])
+            more = own[of(number)]
+            more = more[ids[more] != query_ids[number]]
+            chosen, scores = np.concatenate([chosen, more]), np.concatenate([scores, inner(rows[more], queries[number])])
         best = best_of(scores, ids[chosen], k)
         out_q.append(np.full(len(best), query_ids[number]))
         out_v.append(ids[chosen][best])
