@@ -61,3 +61,17 @@ def test_hard_documents(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, length int")).collect()
     assert sorted((r["doc_id"] or 0, r["piece"], r["start"], r["length"]) for r in got) == [(0, 0, 0, 1), (1, 0, 0, 1), (1, 0, 0, 1), (2, 0, 0, 2048), (2, 1, 2048, 2048), (2, 2, 4096, 5)]
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_program_places_most_pieces():
+    rng = random.Random(9)
+    histogram = {n: rng.randint(250, 3000) for n in rng.sample(range(2, 700), 250)}
+    left = dict(histogram)
+    for config, times in packing.fractional(histogram, 2048):
+        room = sum(n * m for n, m in config.items())
+        assert room <= 2048
+        if 2000 * room >= 1999 * 2048:
+            for n, m in config.items():
+                left[n] -= m * int(times)
+    assert min(left.values()) >= 0
+    assert sum(left.values()) <= 0.4 * sum(histogram.values())

@@ -2,9 +2,9 @@
 
 Method: the configuration linear program over the histogram of piece lengths.  A configuration is a multiset of
 lengths that fits one sequence; multiplicative weights price the lengths and an unbounded-knapsack dynamic program
-finds the dearest configuration.  The fractional counts are rounded down, and what is left is packed by exact
-subset-sum fills, longest length first; should such fills alone need fewer sequences, they are taken (rounding
-costs up to half a per cent where few lengths occur).  Only the histogram (at most ``capacity`` rows) and the configurations
+finds the dearest configurations, in whole steps, until every length is covered but for ``TOLERANCE`` and what no
+configuration without waste can use.  What is left is packed by exact subset-sum fills, longest length first; such fills alone are taken only where they need fewer sequences by more than ``GAP``
+(few occurrences of a length).  Only the histogram (at most ``capacity`` rows) and the configurations
 come to the driver; both are bounded by the capacity, not by the data.
 
 Pieces then find their places without seeing each other: a piece is the r-th of its length, configurations cover
@@ -31,8 +31,11 @@ from .common import materialize
 from .tokens import vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rounds of multiplicative weights, how fast a covered length loses weight, and the share of a demand one round covers.
-ROUNDS, RATE, STEP = 250, 8.0, 0.1
+#: How fast a covered length loses weight, the share of a demand one round covers, the share that the program leaves to
+#: the fills, and how far the value of a used configuration is from the dearest.
+RATE, STEP, TOLERANCE, NEAR = 8.0, 0.1, 0.05, 0.2
+#: The share of sequences that the program may need beyond fills alone.
+GAP = 0.001
 #: Pieces that one (length, bucket) group is meant to hold.
 GROUP_PIECES = 20_000
 
@@ -58,8 +61,8 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int)
     return docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the highest value: an unbounded knapsack over the capacities 0 to ``capacity``."""
+def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(highest value, its last length) of every capacity from 0 to ``capacity``: an unbounded knapsack."""
     best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -68,39 +71,69 @@ def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, in
             got = best[c - lengths[:n]] + value[:n]
             i = int(got.argmax())
             if got[i] > best[c]:
-                best[c], taken[c] = got[i], i
-    found: dict[int, int] = {}
-    c = capacity
+                best[c], taken[c] = got[i], lengths[i]
+    return best, taken
+
+
+def traced(taken: list[int], first: int, capacity: int) -> dict[int, int]:
+    """The dearest configuration that holds the length ``first``."""
+    found, c = {first: 1}, capacity - first
     while c > 0:
-        if taken[c] < 0:
+        if (n := taken[c]) < 0:
             c -= 1
         else:
-            n = int(lengths[taken[c]])
             found[n] = found.get(n, 0) + 1
             c -= n
     return found
 
 
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often each is used, covering the histogram at most once (multiplicative weights)."""
+def tight(config: dict[int, int], capacity: int) -> bool:
+    """A configuration that wastes more than half a thousandth of its room is left to the fills."""
+    return 2000 * sum(n * m for n, m in config.items()) >= 1999 * capacity
+
+
+def fractional(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how often each is used, covering every length at most once and but for ``TOLERANCE``.
+
+    A round prices the lengths once and uses the dearest configuration and, for each length still open, the dearest
+    that holds it, if it wastes no room and its value is within ``NEAR`` of the dearest of all; no length is covered by
+    more than ``STEP`` (or one piece) in a round.  There are at most as many rounds as lengths, whatever the counts.
+    """
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], float)
     index = {int(n): i for i, n in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
+    goal = np.maximum(np.floor(demand * (1 - TOLERANCE)), 1.0)  # one piece at least
+    left = goal.copy()
     # two lengths above half the capacity never share a sequence: each is worth a whole one from the start
     start = np.where(2 * lengths > capacity, 1.0, lengths / capacity)
-    used: list[tuple[dict[int, int], float]] = []
-    for _ in range(rounds):
-        open_ = np.flatnonzero(covered < demand * (1 - 1e-9))
+    used: list[tuple[dict[int, int], int]] = []
+    for _ in range(len(lengths)):
+        open_ = np.flatnonzero(left)
         if not len(open_):
             break
-        config = price(lengths[open_], start[open_] * np.exp(-RATE * covered[open_] / demand[open_]), capacity)
-        whole = min(demand[index[n]] / many for n, many in config.items())
-        left = min((demand[index[n]] - covered[index[n]]) / many for n, many in config.items())
-        times = max(min(left, STEP * whole), min(left, 1.0))
-        for n, many in config.items():
-            covered[index[n]] += many * times
-        used.append((config, times))
+        value = start[open_] * np.exp(-RATE * (1 - left[open_] / goal[open_]))
+        best, taken = price(lengths[open_], value, capacity)
+        worth, followed = value + best[capacity - lengths[open_]], taken.tolist()
+        room = np.minimum(left, np.maximum(np.floor(STEP * demand), 1.0))
+        stuck = True
+        for i in np.argsort(-worth, kind="stable").tolist():
+            if worth[i] < (1 - NEAR) * best[capacity]:
+                break
+            config = traced(followed, int(lengths[open_[i]]), capacity)
+            if not stuck and not tight(config, capacity):
+                continue
+            whole = int(min(left[index[n]] // many for n, many in config.items()))
+            times = max(int(min(room[index[n]] // many for n, many in config.items())), min(whole, 1))
+            if times:
+                for n, many in config.items():
+                    room[index[n]] -= many * times
+                    left[index[n]] -= many * times
+                used.append((config, times))
+            elif stuck:  # not even the dearest fits once: what is left of its scarce lengths is for the fills
+                for n, many in config.items():
+                    if left[index[n]] < many:
+                        left[index[n]] = 0
+            stuck = False
     return used
 
 
@@ -133,10 +166,11 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     histogram = {n: c for n, c in histogram.items() if c > 0}
     program = _rounded(histogram, fractional(histogram, capacity) if histogram else [], capacity)
     fills = _rounded(histogram, [], capacity)
-    return min(program, fills, key=lambda configs: sum(times for _, times in configs))
+    needed, least = (sum(times for _, times in configs) for configs in (program, fills))
+    return program if needed <= (1 + GAP) * least else fills
 
 
-def _rounded(histogram: dict[int, int], used: list[tuple[dict[int, int], float]], capacity: int) -> list[tuple[dict[int, int], int]]:
+def _rounded(histogram: dict[int, int], used: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[dict[int, int], int]]:
     left = dict(histogram)
     out: list[tuple[dict[int, int], int]] = []
 
@@ -149,9 +183,8 @@ def _rounded(histogram: dict[int, int], used: list[tuple[dict[int, int], float]]
 
     for config, times in used:
         if all(n in left for n in config):
-            whole = min(int(times + 1e-9), *(left[n] // many for n, many in config.items()))
-            # a configuration that wastes more than half a per cent of its room is left to the fills
-            if whole > 0 and 200 * sum(n * m for n, m in config.items()) >= 199 * capacity:
+            whole = min(times, *(left[n] // many for n, many in config.items()))
+            if whole > 0 and tight(config, capacity):
                 use(config, whole)
     while left:
         order = sorted(left, reverse=True)
