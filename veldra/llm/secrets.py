@@ -15,9 +15,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:[a-z]+_)*(?:client_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.IGNORECASE | re.ASCII)
 KEY = re.compile(r"""(?:secret|private|access|auth)[A-Za-z_]{0,20}key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{16,})""", re.IGNORECASE | re.ASCII)
-DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]+)?)""", re.ASCII)
 
 Span = tuple[int, int, int]
@@ -62,11 +63,11 @@ def _entropy(token: str) -> float:
 def weak_parts(text: str, base: list[Span]) -> list[Span]:
     """Candidates that count only beside a complement; none overlaps a base find."""
     taken = sorted((s, e) for s, _, e in base)
-    starts = [s for s, _ in taken]
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def free(start: int, end: int) -> bool:
         i = bisect_left(starts, end) - 1
-        return i < 0 or max(e for _, e in taken[max(0, i - 3) : i + 1]) <= start
+        return i < 0 or ends[i] <= start
 
     out: list[Span] = []
     if "=" in text or ":" in text:
@@ -89,13 +90,12 @@ def link(base: list[Span], weak: list[Span]) -> list[Span]:
     secret = sorted([(s, e) for s, k, e in base if k in (0, 2)] + [(s, e) for s, k, e in weak if k == 4])
     other = sorted([(s, e) for s, k, e in base if k == 1] + [(s, e) for s, k, e in weak if k in (3, 5)])
 
-    def near(span: tuple[int, int], side: list[tuple[int, int]]) -> bool:
-        i = bisect_left(side, span)
-        # starts are sorted and parts are short, so the neighbours in start order are the nearest
-        around = side[max(0, i - 2) : i + 2]
-        return any(s - span[1] <= REACH and span[0] - e <= REACH and (s, e) != span for s, e in around)
+    def near(span: tuple[int, int], side: list[tuple[int, int]], ends: list[int]) -> bool:
+        before, after = bisect_left(side, span), bisect_right(side, span)
+        return before > 0 and span[0] - ends[before - 1] <= REACH or after < len(side) and side[after][0] - span[1] <= REACH
 
-    return [(s, k, e) for s, k, e in weak if near((s, e), other if k == 4 else secret)]
+    secret_ends, other_ends = (list(accumulate((e for _, e in side), max)) for side in (secret, other))
+    return [(s, k, e) for s, k, e in weak if (near((s, e), other, other_ends) if k == 4 else near((s, e), secret, secret_ends))]
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
