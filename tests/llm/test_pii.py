@@ -82,3 +82,15 @@ def test_no_python_in_the_plan(spark):
     for df in (pii._tables(docs), pii.digests(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_identity_numbers_are_found(spark):
+    rows = [(i, f"the social security number is {100 + i}-{10 + i % 80}-{1000 + 7 * i} as stated") for i in range(60)]
+    rows += [(100 + i, f"pay to IBAN {iban} soon") for i, iban in enumerate(["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"])]
+    rows += [(200 + i, f"write to user{i}@example.org or read part {900 + i % 90}-{10 + i}-{2000 + i} of it") for i in range(30)]
+    got = {r["doc_id"]: [(pii.KINDS[s["kind"]], s["base"]) for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for key in [*range(60), 100, 101, 102]:
+        assert got[key] == [("id_like", False)], key
+    assert all(("id_like", False) not in got[200 + i] for i in range(30))
+    checked = spark.createDataFrame([("DE89370400440532013000",), ("DE88370400440532013000",), ("GB82 WEST 1234 5698 7654 32",)], "hit string").select(pii.iban("hit").alias("ok"))
+    assert [r["ok"] for r in checked.collect()] == [True, False, True]

@@ -4,7 +4,8 @@ Base spans come from four patterns.  Besides, high-recall generators propose loo
 numbers that look like phones, identity numbers or cards).  Each candidate becomes a vector of small integers: its
 generator, its count of digits, separators, the words before it, what touches it and whether other personal data is
 near.  Gradient-boosted trees over these vectors learn how likely such a candidate is to be personal data; examples
-are all candidates of the corpus, positive where they cover a base span, so the trees see counts per vector, a
+are all candidates of the corpus, positive where they cover a base span or their format checks (identity numbers and
+short cards have no base pattern: ranges of social security numbers, check digits of the others), so the trees see counts per vector, a
 table of at most some thousand rows whatever the corpus.  For every generator the threshold is the lowest score at
 which the examples above it are right in ``PRECISION`` of all cases; candidates from there on are added to the base
 spans.  The trees run as CASE expressions.
@@ -89,6 +90,28 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add) % 10 == 0
 
 
+def iban(hit: Column) -> Column:
+    """True if the check digits of an account number are right (its letters count from 10, modulo 97)."""
+    code = F.regexp_replace(hit, " ", "")
+    turned = F.concat(F.substring(code, 5, 99), F.substring(code, 1, 4))
+
+    def add(acc: Column, i: Column) -> Column:
+        x = F.ascii(F.substring(turned, i, F.lit(1)))
+        return F.when(x < 65, acc * 10 + x - 48).otherwise(acc * 100 + x - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(turned), F.lit(1))), F.lit(0), add) == 1
+
+
+def _right(generator: str, hit: Column) -> Column:
+    """1 if the format of a candidate speaks for personal data although no base pattern covers it: social security
+    numbers of the ranges in use, account numbers and cards with the right check digits."""
+    if generator == "id_like":
+        return F.when(hit.rlike("^[0-9]"), hit.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")).otherwise(iban(hit)).cast("int")
+    if generator == "card_like":
+        return (F.length(_digits(hit)).between(12, 19) & luhn(_digits(hit))).cast("int")
+    return F.lit(0)
+
+
 def _valid(kind: str, found: Column) -> Column:
     if kind == "ip":
         part = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
@@ -120,7 +143,7 @@ def _tables(docs: DataFrame) -> DataFrame:
         "card_like": _where(F.col("joined").isNotNull(), spans(F.col("joined"), CARD_LIKE)),
     }
 
-    def described(g: int, found: Column) -> Column:
+    def described(g: int, name: str, found: Column) -> Column:
         def one(s: Column) -> Column:
             digits = F.length(_digits(s["hit"]))
             seps = F.length(F.regexp_replace(s["hit"], f"[^ ().{SEP}-]", ""))
@@ -131,11 +154,12 @@ def _tables(docs: DataFrame) -> DataFrame:
                 s["start"].alias("start"), s["end"].alias("end"), F.lit(g).alias("gen"),
                 F.when(digits < 4, 0).when(digits < 9, 1).when(digits < 12, 2).when(digits < 14, 3).when(digits < 20, 4).otherwise(5).alias("digits"),
                 F.least(seps, F.lit(3)).alias("seps"), head.rlike(CUES).cast("int").alias("cue"), touch(last).alias("before"), touch(nxt).alias("after"),
+                _right(name, s["hit"]).alias("right"),
             )
 
         return F.transform(found, one)
 
-    cands = F.concat(*(described(g, f) for g, f in enumerate(loose.values())))
+    cands = F.concat(*(described(g, n, f) for g, (n, f) in enumerate(loose.items())))
     return rows.select("doc_id", *(_valid(k, f).alias(k) for k, f in base.items()), cands.alias("cands"))
 
 
@@ -224,14 +248,14 @@ def find(docs: DataFrame) -> DataFrame:
     base = F.concat(*map(named, range(BASE)))
     rows = found.withColumn("base", base)
     # a candidate that covers a base span asks whether there is another one near; the others ask for any
-    names = ["start", "end", *(n for n in FEATURES if n != "near")]
+    names = ["start", "end", "right", *(n for n in FEATURES if n != "near")]
 
     def near(s: Column) -> Column:
         others = F.filter(F.col("base"), lambda b: ~((b["start"] < s["end"]) & (b["end"] > s["start"])))
         return F.struct(*(s[n].alias(n) for n in names), _overlaps(s, others, NEAR).cast("int").alias("near"), _overlaps(s, F.col("base")).cast("int").alias("covers"))
 
     rows = rows.withColumn("cands", F.transform("cands", near))
-    counts = rows.where(F.size("cands") > 0).select(F.explode("cands").alias("c")).groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(F.count(F.lit(1)).alias("w"), F.sum("c.covers").alias("p"))
+    counts = rows.where(F.size("cands") > 0).select(F.explode("cands").alias("c")).groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(F.count(F.lit(1)).alias("w"), F.sum(F.greatest("c.covers", "c.right")).alias("p"))
     # at most the product of the sizes in FEATURES, whatever the corpus
     learned = [({n: r[n] for n in FEATURES}, float(r["w"]), float(r["p"])) for r in counts.orderBy(*FEATURES).collect()]
     start, trees = boost(learned)
