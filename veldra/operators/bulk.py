@@ -42,8 +42,9 @@ def group_distance_stats(left: DataFrame, left_vec: str, right: DataFrame, right
 
 
 def cluster(vectors: DataFrame, key: str, column: str, level_share: int = 16, max_clusters: int | None = None, metric: str = "l2") -> DataFrame:
-    """(key, centroid, dist): every vector goes to the nearest of the vectors that a graph would have on its upper
-    levels (one of ``level_share``, by a hash of the key).  Beyond ``max_clusters`` the smallest cluster is merged
+    """(key, centroid, dist): every vector goes to the nearest centroid.  Centroids are the keys for which
+    (key * 2654435761 + 12345) mod ``level_share`` is 0, a stand-in for the nodes on the upper levels of a graph (with
+    the default 16 these are the keys congruent to 7); if none are, too few to cluster is reported.  Beyond ``max_clusters`` the smallest cluster is merged
     into its nearest neighbour until few enough are left: a loop over centroids, of which there are few."""
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(column).alias("v")).where("v is not null")
     if rows.isEmpty():
