@@ -11,7 +11,7 @@ from veldra.llm.tokens import LibraryEncoder, SegmentTreeWordEncoder, vocabulary
 HARD = [
     "", " ", "a", "Hello, World.  Two  spaces\n\nand\ttabs \n mixed. \n", "it's we'LL don't'd 's.", "x_. y__, z.. w., v,. \n",
     "ΣΑΣ İstanbul J̌ é Å Ω ẞ", "<|endoftext|>a <|startoftext|> <|ENDOFTEXT|>.b<|endoftext|>", "a" * 700, "ab1" * 300 + ".",
-    "\x1c\x1dab\x1f \x85 c d e　f", "日本語テスト。 中文, русский. ½²³ ٣٤", "\x00\x01 a\x01.\n b", "emoji 😀😀. ok, ‍́x", "trailing.", "a.\nb\n.c\n", "\n", "x\r\ny. z",
+    "\x1c\x1dab\x1f \x85 c d e　f", "日本語テスト。 中文, русский. ½²³ ٣٤", "\x00\x01 a\x01.\n b", "a , b", "hello . World", "end .\nNext", "a \x01b", ". a", ", b .", "emoji 😀😀. ok, ‍́x", "trailing.", "a.\nb\n.c\n", "\n", "x\r\ny. z",
 ]
 
 
@@ -20,9 +20,12 @@ WORDS = "Été straße naïve ΑΒΓ ß ﬁ ǅ ÅNGSTRÖM é x ÑANDÚ don't".sp
 
 def texts():
     rng = random.Random(7)
-    letters = "ab Z.,\n'_1é́Σ\t<|s> \x1c😀ß"
+    letters = "ab Z.,\n'_1é́Σ\t<|s> \x1c😀ß\u0001\u0130\u0307\u0558\u1c89"
     mixed = [" ".join(rng.choice(WORDS) + rng.choice(["", ".", ",", ".\n"]) for _ in range(30)) for _ in range(40)]
-    return HARD + mixed + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    # few kinds of characters together, blanks before stops among them
+    few = [rng.sample([*letters, " .", " , ", ".\n"], 5) for _ in range(1000)]
+    mixed += ["".join(rng.choices(kinds, k=rng.randint(1, 30))) for kinds in few for _ in range(14)]
+    return HARD + mixed + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(6000)]
 
 
 @pytest.mark.parametrize("name,make", [

@@ -276,25 +276,45 @@ def white_chunks(text: str) -> list[str]:
         return [c for c in _WHITE.split(text) if c]
     if "\u03a3" not in text and "<|" not in text and unicodedata.is_normalized("NFC", text):
         lower = text.lower()
+        # what a letter becomes may belong to the stop behind it, so stops are only cut off lower-cased texts
         if unicodedata.is_normalized("NFC", lower):
             text = lower
-    if not _JOINED_STOP.search(text):
-        text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
+            if not _JOINED_STOP.search(text):
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ")
     return text.split()
 
 
 class SegmentTreeWordEncoder(ChunkEncoder):
-    """The lower-casing word-end vocabulary by :class:`SegmentTreeBPE`: composes, lower-cases, splits, merges."""
+    """The lower-casing word-end vocabulary by :class:`SegmentTreeBPE`: composes, lower-cases, splits, merges.
+
+    Python and the library need not know the same version of Unicode, so words with characters from ``FOREIGN`` on
+    are composed, lower-cased and split by the library."""
+
+    FOREIGN = "\u0530"
 
     def __init__(self, path: str):
         super().__init__()
+        from tokenizers import Tokenizer
+
         self.bpe = SegmentTreeBPE(path)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.piece = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.specials))) + ")")
         self.chunks = white_chunks  # type: ignore[method-assign]
 
+    def pieces(self, part: str) -> list[bytes]:
+        """The pre-tokens of a word without special tokens."""
+        if not part.isascii():
+            if max(part) >= self.FOREIGN:
+                mapped = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))
+                return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in mapped]
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+        return [p.encode() for p in self.piece.findall(part.lower())]
+
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        index: dict[str, int] = {}
+        index: dict[bytes, int] = {}
         plans: list[list[int]] = []
         for chunk in chunks:
             plan: list[int] = []
@@ -302,11 +322,9 @@ class SegmentTreeWordEncoder(ChunkEncoder):
                 if part in self.bpe.specials:
                     plan.append(-1 - self.bpe.specials[part])
                 elif part:
-                    if not part.isascii():
-                        part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                    plan += [index.setdefault(p, len(index)) for p in self.piece.findall(part.lower())]
+                    plan += [index.setdefault(p, len(index)) for p in self.pieces(part)]
             plans.append(plan)
-        words = [i.tobytes() for i in self.bpe.encode_words([w.encode("utf-8", "surrogatepass") for w in index])]
+        words = [i.tobytes() for i in self.bpe.encode_words(list(index))]
         return [b"".join([words[i] if i >= 0 else (-1 - i).to_bytes(4, "little") for i in plan]) for plan in plans]
 
 
@@ -318,14 +336,16 @@ class _Misses(dict):
         self.owner = owner
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.owner.old.get(chunk) or self.owner.encode_chunk(chunk)
+        ids = self.owner.old.get(chunk)
+        if ids is None:
+            ids = self.owner.encode_chunk(chunk)
         if len(chunk) <= CACHE_CHUNK_CHARS:
             self[chunk] = ids
         return ids
 
 
 class LibraryEncoder(ChunkEncoder):
-    """Any tokenizers file by the library itself.  ``spaced`` keeps the single space before each chunk."""
+    """Any tokenizers file by the library itself.  ``spaced``: blanks belong to the chunks, for a vocabulary that keeps them."""
 
     def __init__(self, path: str, spaced: bool, entries: int = CACHE_ENTRIES):
         super().__init__(entries)
@@ -336,7 +356,7 @@ class LibraryEncoder(ChunkEncoder):
         self.library.no_padding()
         #: Control characters and white space but for the blank and the line feed, as one set, which scans fast.
         self.odd = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-        self.safe = re.compile(r"(?<=\S) (?=\S)")
+        self.safe = re.compile(r"(?<=\S)(?= \S)")
         self.chunks = self._spaced if spaced else white_chunks  # type: ignore[method-assign]
         self.spaced = spaced
         self.cache = _Misses(self)
@@ -344,31 +364,30 @@ class LibraryEncoder(ChunkEncoder):
         self.alphabet = dict(enumerate(byte_alphabet()))
 
     def _spaced(self, text: str) -> list[str]:
-        """Chunks that keep the space before them; a leading U+0001 marks one that has none.
+        """Pieces of the text itself, each with the blank before it.
 
-        Cuts fall where the vocabulary's own pattern always cuts: before a single space, before a stop that ends
-        a word, and on both sides of a single line feed.
+        Cuts fall where the vocabulary's own pattern always cuts: before a single blank, before a stop that ends a
+        word, and on both sides of a single line feed.  The cuts of a plain text are written as U+0001, which such a
+        text does not hold.
         """
         if (
             text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text
             or self.odd.search(text) or _JOINED_STOP.search(text)
         ):
-            chunks = self.safe.split(text)
-        else:
-            text = text.replace(". ", " \x01. ").replace(", ", " \x01, ").replace(".\n", " \x01.\n")
-            chunks = text.replace("\n", " \x01\n \x01").split(" ")
-        chunks[0] = "\x01" + chunks[0]
-        return chunks
+            return self.safe.split(text)
+        text = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").replace(".\x01", "\x01.\x01").replace(",\x01", "\x01,\x01")
+        if "\x01 \x01" in text:  # a blank before a stop belongs to it
+            text = text.replace("\x01 \x01", "\x01 ")
+        return text.split("\x01")
 
     def encode_chunk(self, chunk: str) -> bytes:
         # a run of letters is one pre-token, which the library's model takes as it is
         if self.spaced:
-            if chunk.isalpha():
-                return self._pre_token(b" " + chunk.encode())
-            chunk = chunk[1:] if chunk[:1] == "\x01" else " " + chunk
+            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                return self._pre_token(chunk.encode())
         elif chunk.isalpha() and chunk == chunk.lower() and unicodedata.is_normalized("NFC", chunk):
             return self._pre_token(chunk.encode())
-        return array("I", self.library.encode(chunk, None, False, False).ids).tobytes()
+        return array("I", self.library.encode(chunk, None, False, False).ids).tobytes() if chunk else b""
 
     def _pre_token(self, raw: bytes) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.alphabet))]).tobytes()
