@@ -69,11 +69,14 @@ def test_components_equal_all_pairs(spark, seed, monkeypatch):
 
 
 def test_hard_rows(spark):
-    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (None, None), (3, "x y"), (3, "p q r"), (4, "p q r"), (None, "only here")]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (None, None), (3, "x y"), (3, "p q r"), (4, "p q r"), (None, "only here"), (None, "only here")]
     got = sorted(map(str, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()))
     assert len(got) == len(rows)
     kept = N.drop_near_duplicates(spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string"))
     assert kept.columns == ["doc_id", "text", "lang"]
+    # an id keeps those of its texts that are no copies, a text of null ids alone stays once
+    want = [(1, "a b c d e f"), (2, None), (3, "p q r"), (3, "x y"), (None, None), (None, "only here")]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -87,3 +90,12 @@ def test_estimate_is_unbiased():
     assert abs(np.mean(errors)) < 0.015
     x, y = (np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
     assert N.estimate(N.registers(x), N.registers(y), np.array(5000), np.array(5000))[0] < 0.03
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Without null ids: the copy under a repeated id goes, its other text stays; clashing column names do no harm."""
+    one, other = " ".join("abcdefghijkl"), " ".join("mnopqrstuvwx")
+    rows = [(5, one, "a", 1), (5, other, "b", 1), (3, one, "c", 1), (7, other + " y", "d", 1), (8, "", "e", 1), (8, "", "f", 1)]
+    kept = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, node string, label int"))
+    assert kept.columns == ["doc_id", "text", "node", "label"]
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, one), (5, other), (8, "")]

@@ -16,18 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_texts
 from .tokens import LibraryEncoder, SegmentTreeWordEncoder, vocabulary_path
 
 #: Rows of one output batch: bounds what a worker holds besides the batch it reads.
 OUT_ROWS = 256
 #: Cache generations of the byte-level vocabulary, which keeps capitals apart: 650,000 entries, some 450 MB a worker.
 BYTE_ENTRIES = 650_000
+#: The word vocabulary's: the pipeline's workers hold them beside what its other stages left.
+WORD_ENTRIES = 250_000
 _ENCODERS: dict[tuple, object] = {}
 
 
 def encoder(kind: str, path: str):
     """One encoder per worker process, so its cache outlives a task."""
-    make = {"tree": SegmentTreeWordEncoder, "word": lambda p: LibraryEncoder(p, False), "byte": lambda p: LibraryEncoder(p, True, BYTE_ENTRIES)}
+    make = {"tree": SegmentTreeWordEncoder, "word": lambda p: LibraryEncoder(p, False, WORD_ENTRIES), "byte": lambda p: LibraryEncoder(p, True, BYTE_ENTRIES)}
     if (kind, path) not in _ENCODERS:
         _ENCODERS[kind, path] = make[kind](path)
     return _ENCODERS[kind, path]
@@ -44,7 +47,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = list(own.encode(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["key", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, ids binary")
+    return whole_texts(docs).select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, special: bool = True) -> DataFrame:

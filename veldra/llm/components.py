@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def contract(edges: DataFrame) -> DataFrame:
             hook = hook.join(up, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
         hook = materialize(hook, "hooks")
         names = hook.select(F.col("a").alias("new"), "p")
+        before, old = known, live
         if known is None:
             known = hook.select(F.col("a").alias("old"), F.col("p").alias("new"))
         else:
@@ -34,4 +35,6 @@ def contract(edges: DataFrame) -> DataFrame:
         left, right = hook.select("a", F.col("p").alias("x")), hook.select(F.col("a").alias("b"), F.col("p").alias("y"))
         moved = live.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         live = materialize(moved.distinct(), "edges")
+        discard(before, old, hook)
+    discard(live)
     return known if known is not None else spark.createDataFrame([], "old long, new long")

@@ -36,13 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import anti, discard, materialize, mix64, semi, sliced, thin, whole_texts
 from .components import contract
 
 WORDS = 5
 REGISTERS, ROWS = 255, 5
 STAR_ROUNDS = 3
 BLOCK = 600
+#: Members of a bucket that one task is meant to hold.
+SPLIT = 2000
 #: One key of so many is finished first; most buckets are done after that.
 FIRST = 8
 #: Standard errors below the threshold at which an estimate is still confirmed.
@@ -54,27 +56,12 @@ _PLACES = mix64(np.arange(9001, 9001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _WALKS = np.argsort(mix64(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(1 << 40)).reshape(REGISTERS, -1), axis=1).astype(np.int64)
 
 
-class _WordHashes(dict):
-    """word -> 64-bit hash; starts anew when it grows too large."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _WordHashes()
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the shingles.  bytes.lower and bytes.split know just ASCII letters and white space."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(words) < WORDS:
         hashes = np.concatenate([hashes, np.full(WORDS - len(words), len(words), np.uint64)])
     n = len(hashes) - WORDS + 1
@@ -151,162 +138,235 @@ def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, sketch): node is a 128-bit digest of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                counts, nodes, kept = [], [], []
-                for text in part.column(1).to_pylist():
-                    own = shingle_set(text)
-                    counts.append(len(own))
-                    nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    kept.append(registers(own).tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        for part in sliced(batches):
+            counts, nodes, kept = [], [], []
+            for text in part.column(1).to_pylist():
+                own = shingle_set(text)
+                counts.append(len(own))
+                nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                kept.append(registers(own).tobytes() if len(own) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, sketch binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
+    """(key, nid) of every band of every node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                row, keys = band_keys(sketch)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(keys)], ["node", "key"])
+        for part in sliced(batches, 2000):
+            row, keys = band_keys(_sketch_rows(part.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(row))], ["key", "nid"])
+
+    return nodes.select("nid", "sketch").mapInArrow(run, "key long, nid long")
 
-    return nodes.select("node", "sketch").mapInArrow(run, "node binary, key long")
 
+def _node_of(text: str | None) -> bytes | None:
+    own = shingle_set(text)
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
-def _candidate_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the given nodes: the one place where texts are shuffled."""
+
+def _candidate_texts(docs: DataFrame, wanted: DataFrame, check: bool) -> DataFrame:
+    """(nid, text) of the wanted (nid, node, rep), one row each.  ``check``: an id may stand for several texts; the
+    digest tells which one is meant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [hashlib.blake2b(shingle_set(t).tobytes(), digest_size=16).digest() == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            keep = [_node_of(t) == n for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = nodes.select("node", "rep").join(texts, "rep").select("node", "text")
-    # an id may stand for several texts: the digest tells which one is meant, and one row of each is enough
-    return found.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+    found = wanted.select("nid", "node", "rep").join(thin(texts, "rep", wanted), "rep").select("nid", "node", "text")
+    if check:
+        found = found.mapInArrow(run, "nid long, node binary, text string")
+    return found.select("nid", "text").dropDuplicates(["nid"])
+
+
+def _sketch_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, center) that link: first by estimate, then on full sets."""
+def _of_center(table: DataFrame) -> DataFrame:
+    return table.select(*(F.col(c).alias("center" if c == "nid" else f"c_{c}") for c in table.columns))
+
+
+def _confirm(pairs: DataFrame, small: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (nid, center) that link: first by estimate, then, for what is left, on full sets."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch", "c_sketch"))
+            a, b = _sketch_rows(batch.column("sketch")), _sketch_rows(batch.column("c_sketch"))
             keep = may_link(a, b, batch.column("n").to_numpy(), batch.column("c_n").to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("node", "center")], ["node", "center"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("nid", "center")], ["nid", "center"])
 
     def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, center_set = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for part in sliced(batches):
             keep = []
-            for center, text, other in zip(*(batch.column(c).to_pylist() for c in ("center", "text", "c_text")), strict=True):
+            for center, text, other in zip(*(part.column(c).to_pylist() for c in ("center", "text", "c_text")), strict=True):
                 if center != last:  # rows of a center follow each other
                     last, center_set = center, shingle_set(other)
                 keep.append(linked(shingle_set(text), center_set, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("node", "center")], ["node", "center"])
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("nid", "center")], ["nid", "center"])
 
-    of = lambda t: t.select(*(F.col(c).alias("center" if c == "node" else f"c_{c}") for c in t.columns))
-    small = nodes.select("node", "n", "sketch")
-    likely = pairs.join(small, "node").join(of(small), "center").mapInArrow(near, "node binary, center binary")
-    likely = materialize(likely, "likely")
-    return likely.join(texts, "node").join(of(texts), "center").mapInArrow(sure, "node binary, center binary")
+    near_ = pairs.join(small, "nid").join(_of_center(small), "center").mapInArrow(near, "nid long, center long")
+    likely = materialize(near_, "likely")
+    left = likely.join(thin(texts, "nid", likely), "nid")
+    sure_ = left.join(_of_center(thin(texts, "nid", likely, "center")), "center").mapInArrow(sure, "nid long, center long")
+    links = materialize(sure_, "links")
+    discard(likely)
+    return links
 
 
-def _finish(held: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links between the components of buckets (key, node, label) that still hold several, block by block."""
+def _finish(held: DataFrame, small: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of buckets (key, nid, label) that still hold several, block by block.  Blocks look
+    at sketches first; only members that may link there get their texts."""
     parts = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     sized = parts.groupBy("key").agg(F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     ceil = "cast(ceil(({}) / {}) as int)"
     sized = sized.select("key", F.col("main.label").alias("main"), F.expr(ceil.format("main.size", BLOCK)).alias("mains"), F.expr(ceil.format("all - main.size", BLOCK)).alias("others"))
     dealt = held.join(sized, "key").withColumn("is_main", F.col("label") == F.col("main"))
     # blocks 0 to others - 1 hold the other components, those from there on the largest one
-    of = "cast(pmod(xxhash64(node, key), {}) as int)"
+    of = "cast(pmod(xxhash64(nid, key), {}) as int)"
     dealt = dealt.withColumn("own", F.expr(f"if(is_main, others + {of.format('mains')}, {of.format('others')})"))
     dealt = dealt.withColumn("other", F.explode(F.expr("if(is_main, sequence(0, others - 1), sequence(0, others + mains - 1))")))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "nid", "label")
+
+    def partners(table: pa.Table, label: np.ndarray):
+        """For each row the later rows of other components and, where two blocks meet, of the other block that may link."""
+        n, own = table.column("n").to_numpy(), table.column("own").to_numpy()
+        sketch, split, rows = _sketch_rows(table.column("sketch")), own.min() != own.max(), np.arange(len(n))
+        for x in rows:
+            apart = np.flatnonzero((label != label[x]) & (rows > x) & ((own != own[x]) | (not split)))
+            if len(apart):
+                yield x, apart[may_link(sketch[x], sketch[apart], np.full(len(apart), n[x]), n[apart], percent)]
+
+    def probe(table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, bool)
+        for x, found in partners(table, table.column("label").to_numpy()):
+            if len(found):
+                keep[x] = keep[found] = True
+        return table.filter(pa.array(keep)).select(["key", "i", "j", "own", "nid", "label", "n", "sketch"])
 
     def run(table: pa.Table) -> pa.Table:
-        n, label, own = table.column("n").to_numpy(), table.column("label").to_numpy().copy(), table.column("own").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        said, nodes_ = table.column("text").to_pylist(), table.column("node").to_pylist()
-        split, sets, a, b = own.min() != own.max(), {}, [], []
+        label, said, nids, sets, a, b = table.column("label").to_numpy().copy(), table.column("text").to_pylist(), table.column("nid").to_pylist(), {}, [], []
 
         def members(x: int) -> np.ndarray:
             if x not in sets:
                 sets[x] = shingle_set(said[x])
             return sets[x]
 
-        for x in range(len(n)):
-            apart = np.flatnonzero((label != label[x]) & (np.arange(len(n)) > x) & ((own != own[x]) | (not split)))
-            if not len(apart):
-                continue
-            for y in apart[may_link(sketch[x], sketch[apart], np.full(len(apart), n[x]), n[apart], percent)].tolist():
+        for x, found in partners(table, label):
+            for y in found.tolist():
                 if label[x] != label[y] and linked(members(x), members(y), percent):
-                    a.append(nodes_[x])
-                    b.append(nodes_[y])
+                    a.append(nids[x])
+                    b.append(nids[y])
                     label[label == label[y]] = label[x]
-        return pa.table({"node": pa.array(a, pa.binary()), "center": pa.array(b, pa.binary())})
+        return pa.table({"nid": pa.array(a, pa.int64()), "center": pa.array(b, pa.int64())})
 
-    filled = dealt.join(nodes.select("node", "n", "sketch"), "node").join(texts, "node")
-    return filled.select("key", "i", "j", "own", "node", "label", "n", "sketch", "text").groupBy("key", "i", "j").applyInArrow(run, "node binary, center binary")
+    columns = ["key", "i", "j", "own", "nid", "label", "n", "sketch"]
+    sketched = dealt.join(small, "nid").select(*columns).groupBy("key", "i", "j")
+    likely = materialize(sketched.applyInArrow(probe, "key long, i int, j int, own int, nid long, label long, n long, sketch binary"), "likely")
+    said = likely.join(thin(texts, "nid", likely), "nid").select(*columns, "text")
+    links = materialize(said.groupBy("key", "i", "j").applyInArrow(run, "nid long, center long"), "links")
+    discard(likely)
+    return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each document."""
+def judged(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, n_shingles, node, root, component_id, kept) of each document, and the written tables it rests on.
+    ``root`` tells components apart that have one name, as texts of one id may be unlike."""
     rows = materialize(sketches(docs), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.where("rep is not null"), "nodes")
+    nodes = materialize(nodes.where("rep is not null").withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    several = not rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").isEmpty()
     bands = _bands(nodes)
-    crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(bands.join(crowded, "key"), "buckets")
-    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
-    labels = materialize(company.join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("label"), "company"), "labels")
+    crowded = materialize(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowded")
+    # a large bucket is dealt to several places, wherever its members meet one row of its own
+    salted = "1 + cast(size div {} as int) AS parts".format(SPLIT)
+    buckets = thin(bands, "key", crowded).join(crowded, "key").selectExpr("key", "nid", "size", salted)
+    written = buckets = materialize(buckets.withColumn("salt", F.expr("cast(pmod(xxhash64(nid), parts) as int)")), "buckets")
+    discard(crowded)
+    company = buckets.groupBy("nid").agg(F.sum("size").alias("company"))
+    labels = materialize(company.select("nid", F.col("nid").alias("label"), "company"), "labels")
     # the rounds below only ever join nodes that share a bucket
-    sharing = materialize(nodes.join(labels, "node", "left_semi"), "sharing")
-    texts = materialize(_candidate_texts(docs, sharing), "texts")
-    buckets = buckets.select("key", "node")
+    sharing = materialize(semi(nodes, "nid", labels), "sharing")
+    texts = materialize(_candidate_texts(docs, sharing, several), "texts")
+    small = sharing.select("nid", "n", "sketch")
 
     def merge(links: DataFrame, labels: DataFrame) -> DataFrame:
-        a, b = labels.select("node", F.col("label").alias("a")), labels.select(F.col("node").alias("center"), F.col("label").alias("b"))
-        moves = contract(links.join(a, "node").join(b, "center").select("a", "b"))
+        a, b = labels.select("nid", F.col("label").alias("a")), labels.select(F.col("nid").alias("center"), F.col("label").alias("b"))
+        moves = contract(links.join(a, "nid").join(b, "center").select("a", "b"))
         moved = labels.join(moves.withColumnRenamed("old", "label"), "label", "left")
-        return materialize(moved.select("node", F.coalesce("new", "label").alias("label"), "company"), "labels")
+        merged = materialize(moved.select("nid", F.coalesce("new", "label").alias("label"), "company"), "labels")
+        discard(links, moves, labels)
+        return merged
 
     for _ in range(STAR_ROUNDS):
-        held = buckets.join(labels, "node")
-        lead = F.max(F.struct("company", F.xxhash64("node").alias("h"), "node", "label")).alias("lead")
-        leads = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), lead).where("lo <> hi")
-        leads = leads.select("key", F.col("lead.node").alias("center"), F.col("lead.label").alias("c_label"))
-        open_ = materialize(held.join(leads, "key").where("node <> center").select("key", "node", "label", "center", "c_label"), "open")
-        pairs = open_.where("label <> c_label").select("node", "center").distinct()
-        labels = merge(materialize(_confirm(pairs, sharing, texts, percent), "links"), labels)
-        buckets = open_.select("key", "node")
+        held = buckets.join(labels, "nid")
+        lead = F.max(F.struct("company", F.xxhash64("nid").alias("h"), "nid", "label")).alias("lead")
+        leads = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("parts").alias("parts"), lead).where("lo <> hi")
+        leads = leads.select("key", F.explode(F.expr("sequence(0, parts - 1)")).alias("salt"), F.col("lead.nid").alias("center"), F.col("lead.label").alias("c_label"))
+        met = held.join(leads, ["key", "salt"]).where("nid <> center")
+        open_ = materialize(met.select("key", "nid", "size", "parts", "salt", "label", "center", "c_label"), "open")
+        pairs = open_.where("label <> c_label").select("nid", "center").distinct()
+        labels = merge(_confirm(pairs, small, texts, percent), labels)
+        discard(written)
+        written, buckets = open_, open_.select("key", "nid", "size", "parts", "salt")
     for part in (f"pmod(key, {FIRST}) = 0", f"pmod(key, {FIRST}) <> 0"):
-        rest = materialize(buckets.where(part).join(labels, "node").select("key", "node", "label"), "rest")
-        labels = merge(materialize(_finish(rest, sharing, texts, percent), "links"), labels)
+        rest = materialize(buckets.where(part).join(labels, "nid").select("key", "nid", "label"), "rest")
+        labels = merge(_finish(rest, small, texts, percent), labels)
+        discard(rest)
 
-    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", F.coalesce("label", "rep").alias("named"))
-    joined = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("named"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    known = sharing.select("nid", "node", "rep").join(labels.select("nid", "label"), "nid")
+    names = known.groupBy("label").agg(F.min("rep").alias("name"))
+    moved = known.join(names, "label").where("name <> rep or nid <> label").select("node", "name", "label")
+    named = nodes.select("node", "rep", "nid").join(moved, "node", "left").select("node", F.coalesce("name", "rep").alias("named"), F.coalesce("label", "nid").alias("root"))
+    named = materialize(named, "named")
+    discard(sharing, texts, labels, written, nodes)
+    judged = rows.where("node is not null").join(named, "node", "left").select("doc_id", "n_shingles", "node", "root", F.col("named").alias("component_id"))
+    judged = judged.unionByName(rows.where("node is null").select("doc_id", "n_shingles", "node", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
+    return judged.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), [rows, named]
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each document."""
+    return judged(docs, percent)[0].select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that stay: one of each component, the one of the smallest doc_id; of repeated rows of one
-    doc_id and text likewise one.  Null ids have no component of their own and stay unless their text is another's."""
-    found = materialize(near_duplicates(docs, percent), "near")
+    """The documents that stay: of each component one row, of the smallest doc_id.
+
+    Rows without an id, and rows whose id occurs more than once, are judged by their texts: an id loses just those of
+    its texts that are copies.  A text that occurs under null ids alone stays once; of rows that agree in id and text
+    one stays."""
+    found, under = judged(docs, percent)
+    found = materialize(found, "near")
+    discard(*under)
+    often = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    stay = docs.join(gone, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return stay
-    return stay.join(twice, "doc_id", "left_anti").unionByName(stay.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    special = materialize(often.unionByName(found.where("doc_id is null").select("doc_id").limit(1)), "special")
+    if special.isEmpty():
+        return anti(docs, "doc_id", gone)
+    plain = anti(anti(docs, "doc_id", special).where("doc_id is not null"), "doc_id", gone)
+
+    names = docs.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([_node_of(t) for t in batch.column(names.index("text")).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*names, "__node"])
+
+    picked = semi(docs, "doc_id", special).unionByName(docs.where("doc_id is null"))
+    own = picked.mapInArrow(run, f"{fields}, __node binary")
+    verdict = found.select(F.col("doc_id").alias("__doc"), F.col("node").alias("__set"), F.col("root").alias("__root"), F.col("component_id").alias("__component"), F.col("kept").alias("__kept")).distinct()
+    both = own.join(verdict, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("__node").eqNullSafe(F.col("__set")))
+    stay = both.where("__kept or (doc_id is null and __component is null)")
+    # a component has one row; texts without shingles are told apart by id and text
+    group = F.when(F.col("__node").isNull(), F.concat_ws(":", F.lit("t"), "doc_id", "text")).otherwise(F.coalesce(F.concat(F.lit("c"), F.col("__root").cast("string")), F.hex("__node")))
+    return plain.unionByName(stay.withColumn("__group", group).dropDuplicates(["__group"]).select(*names))
 
 
 ORACLE_SQL = r"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced, whole_texts
 from .near_dedup import shingle_set
 
 #: At most so many labelled rows teach the model.
@@ -141,7 +141,7 @@ class Automaton:
 class Matcher(dict):
     """Chunk of text -> kind of hit, remembered; words seen in clean examples are no misspellings."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, terms: list[str], stems: list[str], known: frozenset[str] = frozenset(), strict: frozenset[str] = frozenset()):
         super().__init__()
@@ -317,10 +317,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value[:4])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1).to_pylist(), matcher, shared.value[4]), pa.float64())], ["doc_id", "score"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(part.column(1).to_pylist(), matcher, shared.value[4]), pa.float64())], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -339,8 +339,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value[:4])
-        for batch in batches:
-            keep = scores(batch.column(batch.schema.get_field_index("text")).to_pylist(), matcher, shared.value[4]) < 0.5
-            yield batch.filter(pa.array(keep))
+        for part in sliced(batches):
+            keep = scores(part.column(part.schema.get_field_index("text")).to_pylist(), matcher, shared.value[4]) < 0.5
+            yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)
