@@ -2,7 +2,7 @@
 
 Plain (base) finds are reported as they are.  Besides, weak parts are generated: identifiers (``client_id = ...``),
 secrets (assigned keys and tokens of high entropy) and endpoints (URLs, ``host = ...``).  An interval join within a
-scope (a document, parts at most ``REACH`` code points apart, sweeping both sorted lists once) links parts; a weak
+scope (a document, parts at most ``REACH`` code points apart, over both sorted lists) links parts; a weak
 part is reported only where complementary parts co-occur: a secret with an identifier or an endpoint, and an
 identifier or endpoint with a secret.  Base finds count as parts of their kind.
 
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced, whole_texts
+
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 BASE = 3
 #: Code points between two parts of one credential, and the least entropy of an unassigned secret in bits a character.
@@ -34,7 +36,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:[a-z]+_)*(?:client_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.IGNORECASE | re.ASCII)
+IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:client_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.IGNORECASE | re.ASCII)
 KEY = re.compile(r"""(?:secret|private|access|auth)[A-Za-z_]{0,20}key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{16,})""", re.IGNORECASE | re.ASCII)
 DENSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]+)?)""", re.ASCII)
@@ -86,7 +88,10 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
 
 
 def link(base: list[Span], weak: list[Span]) -> list[Span]:
-    """The weak parts with a complement in reach.  One merge over both sorted sides for each direction."""
+    """The weak parts with a complement in reach: those of an interval join, found without making its pairs.
+
+    In start order a complement that begins no later reaches a part if the largest end so far does; of those that
+    begin later the first decides."""
     secret = sorted([(s, e) for s, k, e in base if k in (0, 2)] + [(s, e) for s, k, e in weak if k == 4])
     other = sorted([(s, e) for s, k, e in base if k == 1] + [(s, e) for s, k, e in weak if k in (3, 5)])
 
@@ -112,14 +117,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for text in batch.column(1).to_pylist():
                 base, linked = find(text)
                 found.append([{"kind": KINDS[k], "start": s, "end": e, "base": k < BASE} for s, k, e in sorted(base + linked)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = whole_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
 
 
@@ -136,7 +141,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: every document stays, each found span becomes ``MARK`` and n_chars follows the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             lengths = batch.column(batch.schema.get_field_index("n_chars")).to_pylist() if "n_chars" in batch.schema.names else None
@@ -152,7 +157,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(lengths, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(run, docs.schema)
 
 
 def _masked(text: str, spans: list[Span]) -> str:
@@ -164,6 +169,13 @@ def _masked(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[last:]
 
 
+def linked_brute_force(base: list[Span], weak: list[Span]) -> list[Span]:
+    """:func:`link` by all pairs (for tests)."""
+    side = {0: "s", 2: "s", 4: "s", 1: "o", 3: "o", 5: "o"}
+    parts = base + weak
+    return [(s, k, e) for s, k, e in weak if any(side[k] != side[k2] and s2 - e <= REACH and s - e2 <= REACH for s2, k2, e2 in parts)]
+
+
 def brute_force(text: str | None) -> tuple[str, str]:
     """The contract's digest string and its SHA-256, without the shortcuts above (for tests)."""
     text = text or ""
