@@ -27,14 +27,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize
+from .common import materialize, sliced, whole_texts
 from .tokens import vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: How fast a covered length loses weight, the share of a demand one round covers, the share that the program leaves to
 #: the fills, and how far the value of a used configuration is from the dearest.
-RATE, STEP, TOLERANCE, NEAR = 8.0, 0.1, 0.05, 0.2
-#: The share of sequences that the program may need beyond fills alone.
+RATE, STEP, TOLERANCE, NEAR = 8.0, 0.1, 0.07, 0.2
+#: The share of sequences that the program may need beyond fills alone: where most pieces are longer than a third of a
+#: sequence, so that room is lost whatever is done, its whole steps can need a hundredth more.
 GAP = 0.001
 #: Pieces that one (length, bucket) group is meant to hold.
 GROUP_PIECES = 20_000
@@ -46,19 +47,17 @@ def encode_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder("word", vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[tuple] = []
-                for key, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        cut = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((key, piece, start, len(cut) // 4, zlib.crc32(cut)))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+        for part in sliced(batches):
+            rows: list[tuple] = []
+            for key, ids in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist()), strict=True):
+                ids += end
+                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    cut = ids[4 * start : 4 * (start + capacity)]
+                    rows.append((key, piece, start, len(cut) // 4, zlib.crc32(cut)))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return whole_texts(docs).select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +101,7 @@ def fractional(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int,
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], float)
     index = {int(n): i for i, n in enumerate(lengths)}
-    goal = np.maximum(np.floor(demand * (1 - TOLERANCE)), 1.0)  # one piece at least
+    goal = np.ceil(demand * (1 - TOLERANCE))
     left = goal.copy()
     # two lengths above half the capacity never share a sequence: each is worth a whole one from the start
     start = np.where(2 * lengths > capacity, 1.0, lengths / capacity)
