@@ -66,3 +66,40 @@ def test_filtered_search_and_copy(session, spark):
     engine.remove("f", [0])
     engine.copy_index("f", "g")
     assert engine.count("g") == 728
+
+
+def test_rewrites_keep_what_is_no_distance(spark, session):
+    from veldra.plans.rewrite import rewrite_expression as rewrite
+
+    for text in ("a - 1 - array_cosine_similarity(a, b)", "2 * 1 - array_cosine_similarity(a, b)", "11 - array_cosine_similarity(a, b)", "x1 - array_cosine_similarity(a, b)",
+                 "1 - array_cosine_similarity(a, b) * 2", "3 - array_inner_product(a, b)", "l.k <=> r.k"):
+        assert rewrite(text) == text
+    assert rewrite("SELECT 1 - array_cosine_similarity(a, b) AS d") == "SELECT array_cosine_distance(a, b) AS d"
+    assert rewrite("l.v <=> r.v", {"v"}) == "array_cosine_distance(l.v, r.v)" and rewrite("v <=> array(1D)") == "array_cosine_distance(v, array(1D))"
+    assert session.sql("SELECT vec[0] AS x FROM t1 WHERE id = 5").first()["x"] == 5.0
+    assert session.sql("SELECT map('a', 7)['a'] AS x").first()["x"] == 7
+    assert session.sql("SELECT count(*) AS n FROM t1 x JOIN t1 y ON x.id <=> y.id").first()["n"] == 729
+
+
+def test_lateral_joins_show_what_they_select(spark):
+    from veldra.plans.rewrite import run_sql
+
+    spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 5.0, 6.0])], "a_id int, a_vec array<float>").createOrReplaceTempView("lat_a")
+    spark.createDataFrame([(10, [4.0, 5.0, 6.0], "b"), (11, [1.0, 2.0, 3.5], "a")], "b_id int, b_vec array<float>, b_str string").createOrReplaceTempView("lat_b")
+    keys = {"lat_a": "a_id", "lat_b": "b_id"}
+    got = run_sql(spark, "SELECT * FROM lat_a, LATERAL (SELECT b_str AS nbr FROM lat_b ORDER BY array_distance(a_vec, b_vec) LIMIT 1)", keys)
+    assert got.columns == ["a_id", "a_vec", "nbr"] and sorted((r["a_id"], r["nbr"]) for r in got.collect()) == [(1, "a"), (2, "b")]
+    text = "SELECT a_id, dist, id_dup, b_str FROM lat_a, LATERAL (SELECT array_distance(lat_a.a_vec, lat_b.b_vec) AS dist, *, a_id AS id_dup FROM lat_b ORDER BY dist LIMIT 1) x"
+    assert sorted(map(tuple, run_sql(spark, text, keys).collect())) == [(1, 0.5, 1, "a"), (2, 0.0, 2, "b")]
+    with pytest.raises(ValueError, match="lateral"):
+        run_sql(spark, "SELECT a_id FROM lat_a, LATERAL (SELECT b_id FROM lat_b ORDER BY b_id + a_id LIMIT 1)", keys)
+
+
+def test_outer_rows_of_one_key_get_their_own_neighbours(spark):
+    from veldra.operators.knn import knn_join, vss_join
+
+    outer = spark.createDataFrame([("x", [0.0, 0.0]), ("x", [9.0, 9.0]), (None, [9.0, 9.0])], "o_key string, ov array<float>")
+    inner = spark.createDataFrame([(7, [0.0, 0.0]), (8, [9.0, 9.0])], "i_key long, iv array<float>")
+    got = knn_join(outer, "o_key", "ov", inner, "i_key", "iv", 1).collect()
+    assert sorted((r["ov"][0], r["i_key"]) for r in got) == [(0.0, 7), (9.0, 8), (9.0, 8)]
+    assert vss_join(outer, inner, "o_key", "ov", "i_key", "iv", 1).count() == 3

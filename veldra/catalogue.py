@@ -267,13 +267,13 @@ def list_sql(value: str, order: str, where: str = "") -> str:
 @query("minby_k", list_sql("list_distance(e.v, q.v)", "ASC"))
 def minby_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scaled(spark, sf_dir)
-    return listed(knn.min_by_k(df, F.col("vec_id"), V.array_distance(F.col("embedding"), first_vector(df), DIM), 5, key="vec_id"))
+    return listed(knn.min_by_k(df, F.col("vec_id"), M.constant_distance("l2", "embedding", first_vector(df)), 5, key="vec_id"))
 
 
 @query("maxby_k", list_sql("list_inner_product(e.v, q.v)", "DESC"))
 def maxby_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scaled(spark, sf_dir)
-    return listed(knn.max_by_k(df, F.col("vec_id"), V.array_inner_product(F.col("embedding"), first_vector(df), DIM), 5, key="vec_id"))
+    return listed(knn.max_by_k(df, F.col("vec_id"), M.constant_distance("inner_product", "embedding", first_vector(df)), 5, key="vec_id"))
 
 
 @query("minby_k_filter", list_sql("list_distance(e.v, q.v)", "ASC", "WHERE e.label = 4"))
@@ -374,11 +374,11 @@ def knn_join_lateral_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def macro_query(metric: str, value: str, order: str) -> None:
     short = {"l2sq": "l2", "cosine": "cos", "ip": "ip"}[metric]
-    outer = f"{S_SQL} WHERE vec_id < 50"
+    outer = S_SQL
 
     def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         df = scaled(spark, sf_dir)
-        return df.where("vec_id < 50").select(F.col("vec_id").alias("lid"), F.col("embedding").alias("lv")), df.select("vec_id", "embedding")
+        return df.select(F.col("vec_id").alias("lid"), F.col("embedding").alias("lv")), df.select("vec_id", "embedding")
 
     @query(f"vss_join_{short}", join_sql(value, order, outer=outer, what="round(d, 6) AS score, vec_id AS left_id, nbr AS right_id"))
     def join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +417,7 @@ def rewrite_query(name: str, text: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         V.register(spark)
         df = scaled(spark, sf_dir)
-        rewritten = rewrite_expression(text)
+        rewritten = rewrite_expression(text, {"embedding", "q"})
         if rewritten == text:
             raise AssertionError(text)
         return df.withColumn("q", V.vector(first_vector(df))).selectExpr("vec_id", f"round({rewritten}, 6) AS value")
@@ -427,6 +427,8 @@ rewrite_query("rewrite_cosine", "1.0 - array_cosine_similarity(embedding, q)", "
 rewrite_query("rewrite_neg_ip", "-array_inner_product(embedding, q)", "-list_inner_product(e.v, q.v)")
 rewrite_query("rewrite_operator_l2", "embedding <-> q", "list_distance(e.v, q.v)")
 rewrite_query("rewrite_operator_cos", "embedding <=> q", "1 - list_cosine_similarity(e.v, q.v)")
+rewrite_query("rewrite_minus_one", "round(2 * 1 - array_cosine_similarity(embedding, q), 6) + (1 - array_cosine_similarity(embedding, q))", "round(2 * 1 - list_cosine_similarity(e.v, q.v), 6) + (1 - list_cosine_similarity(e.v, q.v))")
+rewrite_query("rewrite_left_minus", "vec_id - 1 - array_cosine_similarity(embedding, q) + array_negative_inner_product(embedding, q) - array_inner_product(embedding, q) + (embedding <-> q)", "e.vec_id - 1 - list_cosine_similarity(e.v, q.v) - 2 * list_inner_product(e.v, q.v) + list_distance(e.v, q.v)")
 rewrite_query("rewrite_operator_ip", "embedding <#> q", "-list_inner_product(e.v, q.v)")
 
 

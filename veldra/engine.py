@@ -250,7 +250,7 @@ class VectorEngine:
         if not 0 <= k < MAX_K:
             raise ValueError("k must lie between 0 and 2047")
         o = meta["options"]
-        ef = int(self.settings["hnsw_ef_search"]) or ef_search or o["ef_search"]
+        ef = ef_search or int(self.settings["hnsw_ef_search"]) or o["ef_search"]
         asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_col).cast("array<double>").alias("qv")).where("qv is not null")
         blocks = 1 + asked.count() // 4096
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))

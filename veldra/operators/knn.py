@@ -178,16 +178,22 @@ def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame
     return ranked.where(F.col("rn") <= k).select("o", "i", "rn", "dist")
 
 
+def _asked(outer: DataFrame, key: str, column: str) -> DataFrame:
+    """``outer`` with ``__o``, which stands for its key and vector."""
+    return outer.withColumn("__o", F.xxhash64(F.col(key).cast("string"), F.col(column)))
+
+
 def knn_join(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame, inner_key: str, inner_vec: str, k: int, metric: str = "l2", **more) -> DataFrame:
     """Inner columns, rn, outer columns and dist of the k nearest inner rows of every outer row (a lateral join).
 
-    Outer rows are told apart by their key; rows that share one keep their multiplicity.
+    Outer rows are told apart by a 64-bit hash of key and vector, so keys may repeat, be null or be no numbers.
     """
     clash = set(outer.columns) & set(inner.columns)
     if clash:
         raise ValueError(f"both sides have columns named {sorted(clash)}")
-    pairs = knn_pairs(outer.dropDuplicates([outer_key]), outer_key, outer_vec, inner, inner_key, inner_vec, k, metric, **more)
-    joined = pairs.join(inner, F.col("i") == F.col(inner_key)).join(outer, F.col("o") == F.col(outer_key))
+    asked = _asked(outer, outer_key, outer_vec)
+    pairs = knn_pairs(asked.dropDuplicates(["__o"]), "__o", outer_vec, inner, inner_key, inner_vec, k, metric, **more)
+    joined = pairs.join(inner, F.col("i") == F.col(inner_key)).join(asked, F.col("o") == F.col("__o"))
     return joined.select(*inner.columns, "rn", *outer.columns, "dist")
 
 
@@ -200,7 +206,7 @@ def _macro(metric: str) -> str:
 def _scored(left: DataFrame, right: DataFrame, left_key: str, left_col: str, right_key: str, right_col: str, k: int, metric: str) -> DataFrame:
     if "score" in right.columns:
         raise ValueError("the right table must not have a column named score")
-    pairs = knn_pairs(left.dropDuplicates([left_key]), left_key, left_col, right, right_key, right_col, k, _macro(metric))
+    pairs = knn_pairs(_asked(left, left_key, left_col).dropDuplicates(["__o"]), "__o", left_col, right, right_key, right_col, k, _macro(metric))
     # a score that is null never enters a min_by or max_by list
     return pairs.where("dist is not null")
 
@@ -208,7 +214,7 @@ def _scored(left: DataFrame, right: DataFrame, left_key: str, left_col: str, rig
 def vss_join(left: DataFrame, right: DataFrame, left_key: str, left_col: str, right_key: str, right_col: str, k: int, metric: str = "l2sq") -> DataFrame:
     """(score, left_tbl, right_tbl) of the k best right rows of every left row."""
     pairs = _scored(left, right, left_key, left_col, right_key, right_col, k, metric)
-    a = left.select(F.col(left_key).alias("o"), F.struct(*left.columns).alias("left_tbl"))
+    a = _asked(left, left_key, left_col).select(F.col("__o").alias("o"), F.struct(*left.columns).alias("left_tbl"))
     b = right.select(F.col(right_key).alias("i"), F.struct(*right.columns).alias("right_tbl"))
     return pairs.join(b, "i").join(a, "o").select(F.col("dist").alias("score"), "left_tbl", "right_tbl")
 
@@ -219,7 +225,7 @@ def vss_match(left: DataFrame, right: DataFrame, left_key: str, left_col: str, r
     b = right.select(F.col(right_key).alias("i"), F.struct(*right.columns).alias("row"))
     entry = F.struct("rn", F.col("dist").alias("score"), "row")
     lists = pairs.join(b, "i").groupBy("o").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda m: F.struct(m["score"], m["row"])).alias("matches"))
-    return left.join(lists, F.col(left_key) == F.col("o"), "left").drop("o")
+    return _asked(left, left_key, left_col).join(lists, F.col("__o") == F.col("o"), "left").select(*left.columns, "matches")
 
 
 def knn_lists(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame, inner_key: str, inner_vec: str, k: int, metric: str = "l2") -> DataFrame:
