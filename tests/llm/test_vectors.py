@@ -85,3 +85,31 @@ def test_recall_with_skewed_norms(norms):
     best = np.argsort(-scores, axis=1)[:, :20]
     found = set(zip(found_q.tolist(), found_v.tolist(), strict=True))
     assert sum((int(a), int(b)) in found for a, row in zip(q, best, strict=True) for b in row) >= 0.95 * best.size
+
+
+@pytest.mark.parametrize("kind,most", [("skewed", 0.6), ("even", 1.0), ("sparse", 1.0)])
+def test_impact_order_stops_on_proof(kind, most):
+    """The members hold every true neighbour, and where impacts differ a good part of the postings is never touched."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 48))
+    if kind == "skewed":
+        x = np.sign(x) * np.abs(x) ** 4 * rng.pareto(1.5, size=(4000, 1))
+    if kind == "sparse":
+        x[rng.random(x.shape) < 0.9] = 0
+    x = np.floor(256 * x)
+    index, touched = exact_topk.ImpactIndex(x), 0
+    assert index.postings == np.count_nonzero(x)
+    for q in range(0, 4000, 200):
+        members, seen = index.members(x[q], np.array([q]), 5)
+        touched += seen
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(members.tolist())
+        assert len(members) <= 5 + exact_topk.FEW or seen <= index.postings
+    assert 0 < touched <= most * 20 * index.postings
+
+
+def test_scores_outside_64_bits_are_the_nearest(spark):
+    df = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, 1e9]), (2, [-1e9, -1e9]), (3, [2e9, 1e9])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in exact_topk.nearest(df).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]

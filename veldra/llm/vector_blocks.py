@@ -38,14 +38,14 @@ def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], rows[first]
 
 
-def top_k(rows: DataFrame, is_query, k: int, search: Callable, kind: str) -> DataFrame:
+def top_k(rows: DataFrame, is_query, k: int, search: Callable, kind: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``search(row_ids, rows, query_ids, queries)`` answers one task with arrays (query_id, vec_id, score); the best
     k of each query over all tasks are kept, ties to the smaller vec_id.  Vectors only meet vectors of their length.
 
     A stated query set meets all rows in blocks: rows are copied once per query block, queries once per row block.
     """
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
-    row_blocks, query_blocks = 1 + sizes["n"] // BLOCK_ROWS, 1 + sizes["q"] // BLOCK_QUERIES
+    row_blocks, query_blocks = 1 + sizes["n"] // block_rows, 1 + sizes["q"] // BLOCK_QUERIES
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     of = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     left = rows.select("dim", of(row_blocks, 1).alias("rb"), every(query_blocks).alias("qb"), F.lit(False).alias("asks"), "vec_id", "v")
