@@ -212,8 +212,9 @@ def _confirm(pairs: DataFrame, small: DataFrame, texts: DataFrame, percent: int)
 
     near_ = pairs.join(small, "nid").join(_of_center(small), "center").mapInArrow(near, "nid long, center long")
     likely = materialize(near_, "likely")
-    left = likely.join(thin(texts, "nid", likely), "nid")
-    sure_ = left.join(_of_center(thin(texts, "nid", likely, "center")), "center").mapInArrow(sure, "nid long, center long")
+    # one filter serves both sides
+    needed = thin(texts, "nid", likely.select("nid").unionByName(likely.select(F.col("center").alias("nid"))))
+    sure_ = likely.join(needed, "nid").join(_of_center(needed), "center").mapInArrow(sure, "nid long, center long")
     links = materialize(sure_, "links")
     discard(likely)
     return links
