@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from veldra.llm import pii
 
@@ -68,6 +69,46 @@ def test_random_texts(spark, seed):
         assert r["base_sha256"] == hashlib.sha256(brute(texts[r["doc_id"]]).encode()).hexdigest(), texts[r["doc_id"]]
 
 
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    texts = [" ".join(f"u{i}@b{i}.cd +1 (555) {i % 900 + 100}-4567 u [at] b [dot] cd" for i in range(n)) for n in (50, 10_000)]
+    began = time.monotonic()
+    rows = pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert time.monotonic() - began < 30
+    for r in rows:
+        assert r["base_sha256"] == hashlib.sha256(brute(texts[r["doc_id"]]).encode()).hexdigest()
+
+
+def test_candidates_their_context_and_neighbours_equal_brute_force(spark):
+    """What the trees see: places, the characters around a candidate, and base spans over or near it."""
+    import random
+
+    rng, texts = random.Random(11), []
+    parts = ["a@b.cd", "+1 (555) 123-4567", "10.0.0.1", "4111 1111 1111 1111", "555 123-4567", "123-45-6789", "me [at] site [dot] org", "x", " ", "é😀", "ssn ", "y" * 130, ", "]
+    for n in (0, 1, 3, 10, 200, 200):
+        texts.append("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(n)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = docs.select("doc_id", pii.spans(F.col("text"), pii.PHONE_LIKE, True).alias("p"), pii.spans(F.col("text"), pii.MAIL_LIKE, True).alias("m"))
+    for r in found.collect():
+        text = texts[r["doc_id"]]
+        for pattern, got in ((pii.PHONE_LIKE, r["p"]), (pii.MAIL_LIKE, r["m"])):
+            want = [(m.start(), m.end(), m[0], text[max(0, m.start() - pii.CONTEXT) : m.start()], text[m.end() : m.end() + 1]) for m in re.finditer(pattern, text, re.ASCII)]
+            assert [tuple(s) for s in got] == want, text
+    tables = pii._tables(docs).withColumn("near", F.transform("cands", lambda s: F.array(*(f(s, F.col(k)).cast("int") for k in pii.KINDS[: pii.BASE] for f in (pii._near, pii._covers)))))
+    seen = 0
+    for r in tables.collect():
+        for s, flags in zip(r["cands"], r["near"], strict=True):
+            want = []
+            for kind in pii.KINDS[: pii.BASE]:
+                over = [b["start"] < s["end"] and b["end"] > s["start"] for b in r[kind]]
+                close = [b["start"] < s["end"] + pii.NEAR and b["end"] + pii.NEAR > s["start"] for b in r[kind]]
+                want += [int(any(c and not o for c, o in zip(close, over, strict=True))), int(any(over))]
+            assert flags == want
+            seen += 1
+    assert seen > 100
+
+
 def test_empty_table_and_boosting(spark):
     assert pii.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [({n: 0 for n in pii.FEATURES} | {"gen": g, "cue": c}, 100.0, 95.0 if c else 5.0) for g in range(4) for c in range(2)]

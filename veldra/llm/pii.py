@@ -21,6 +21,8 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ BASE = 4
 ROUNDS, SHRINK, PRECISION = 40, 0.3, 0.9
 #: Characters of context before a candidate, and the distance to other personal data that counts as near.
 CONTEXT, NEAR = 30, 120
+#: Matches of a block of running sums.
+BLOCK = 64
 
 #: Private characters that stand for a separator between digits and for a full stop inside a domain.
 SEP, DOT = "", ""
@@ -51,27 +55,69 @@ CUES = r"(?i)(?:e-?mail|mail|phone|tel|call|mobile|fax|card|visa|account|iban|ss
 FEATURES = {"gen": 4, "digits": 6, "seps": 4, "cue": 2, "before": 3, "after": 3, "near": 2}
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array of (start, end, hit) of all matches; code points, end exclusive."""
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("hit"))).alias("out"))
 
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+def spans(text: Column, pattern: str, context: bool = False) -> Column:
+    """array of (start, end, hit) of all matches; code points, end exclusive.  With ``context`` also the ``CONTEXT``
+    characters before a match (head) and the one after it (next).
 
+    Running sums go block by block, as a growing array is copied whole at every step; the texts around a match come
+    from the pieces between matches, as a position in a text is found by counting from its start."""
+    right = lambda x: F.when(F.length(x) > CONTEXT, F.substring(x, -CONTEXT, CONTEXT)).otherwise(x)
 
-def _none() -> Column:
-    return F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
+    def step(acc: Column, m: Column) -> Column:
+        start = acc["at"] + m["gap"]
+        end = start + F.length(m["hit"])
+        if not context:
+            return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), m["hit"].alias("hit"))).alias("out"))
+        head = right(F.concat(acc["tail"], m["head"]))
+        found = F.struct(start.alias("start"), end.alias("end"), m["hit"].alias("hit"), head.alias("head"), m["next"].alias("next"))
+        return F.struct(end.alias("at"), right(F.concat(head, m["hit"])).alias("tail"), F.array_append(acc["out"], found).alias("out"))
 
+    def matches(pieces: Column, hits: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            fields = [F.length(F.get(pieces, i)).alias("gap"), hit.alias("hit")]
+            if context:
+                after = F.concat(F.get(pieces, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")))
+                fields += [right(F.get(pieces, i)).alias("head"), F.substring(after, 1, 1).alias("next")]
+            return F.struct(*fields)
 
-def _where(test: Column, found: Column) -> Column:
-    return F.when(test, found).otherwise(_none())
+        return F.transform(hits, one)
+
+    def summed(blocks: Column) -> Column:
+        width = lambda block: F.aggregate(block, F.lit(0), lambda n, m: n + m["gap"] + F.length(m["hit"]))
+        starts = F.aggregate(F.transform(blocks, width), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+
+        def block_of(starts: Column) -> Column:
+            def walk(block: Column, i: Column) -> Column:
+                fields = [F.get(starts, i).alias("at")]
+                if context:  # a match has a character at least, so CONTEXT of them hold the context
+                    before = F.coalesce(F.get(blocks, i - 1), F.slice(block, 1, 0))
+                    before = F.slice(before, F.greatest(F.size(before) - CONTEXT, F.lit(0)) + 1, F.lit(CONTEXT))
+                    fields.append(right(F.array_join(F.transform(before, lambda m: F.concat(m["head"], m["hit"])), "")).alias("tail"))
+                return F.aggregate(block, F.struct(*fields, _none(context).alias("out")), step, lambda acc: acc["out"])
+
+            return F.flatten(F.transform(blocks, walk))
+
+        return _let(starts, block_of)
+
+    def blocked(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(found) / BLOCK)).cast("int")), lambda i: F.slice(found, i * BLOCK + 1, F.lit(BLOCK)))
+
+    pairs = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    found = _let(pairs, lambda both: _let(both["pieces"], lambda p: _let(both["hits"], lambda h: matches(p, h))))
+    return _let(_let(found, blocked), summed)
+
+
+def _none(context: bool = False) -> Column:
+    return F.expr("cast(array() as array<struct<start:int,end:int,hit:string" + (",head:string,next:string>>)" if context else ">>)"))
+
+
+def _where(test: Column, found: Column, context: bool = False) -> Column:
+    return F.when(test, found).otherwise(_none(context))
 
 
 def _digits(x: Column) -> Column:
@@ -137,23 +183,22 @@ def _tables(docs: DataFrame) -> DataFrame:
         "phone": _where(t.contains("+"), spans(t, PHONE)),
     }
     loose = {
-        "mail_like": _where(t.contains("@") | t.rlike(r"(?i)[\[({]at[\])}]"), spans(t, MAIL_LIKE)),
-        "phone_like": _where(t.rlike(r"[0-9][ .-][0-9]{3}"), spans(t, PHONE_LIKE)),
-        "id_like": _where(t.rlike(r"[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}"), spans(t, ID_LIKE)),
-        "card_like": _where(F.col("joined").isNotNull(), spans(F.col("joined"), CARD_LIKE)),
+        "mail_like": _where(t.contains("@") | t.rlike(r"(?i)[\[({]at[\])}]"), spans(t, MAIL_LIKE, True), True),
+        "phone_like": _where(t.rlike(r"[0-9][ .-][0-9]{3}"), spans(t, PHONE_LIKE, True), True),
+        "id_like": _where(t.rlike(r"[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}"), spans(t, ID_LIKE, True), True),
+        "card_like": _where(F.col("joined").isNotNull(), spans(F.col("joined"), CARD_LIKE, True), True),
     }
 
     def described(g: int, name: str, found: Column) -> Column:
         def one(s: Column) -> Column:
             digits = F.length(_digits(s["hit"]))
             seps = F.length(F.regexp_replace(s["hit"], f"[^ ().{SEP}-]", ""))
-            head = F.substring(t, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(F.lit(CONTEXT), s["start"]))
-            last, nxt = F.substring(head, -1, 1), F.substring(t, s["end"] + 1, F.lit(1))
+            last, nxt = F.substring(s["head"], -1, 1), s["next"]
             touch = lambda c: F.when(c.rlike("[A-Za-z0-9]"), 2).when(c.rlike("[^\\s]"), 1).otherwise(0)
             return F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), F.lit(g).alias("gen"),
                 F.when(digits < 4, 0).when(digits < 9, 1).when(digits < 12, 2).when(digits < 14, 3).when(digits < 20, 4).otherwise(5).alias("digits"),
-                F.least(seps, F.lit(3)).alias("seps"), head.rlike(CUES).cast("int").alias("cue"), touch(last).alias("before"), touch(nxt).alias("after"),
+                F.least(seps, F.lit(3)).alias("seps"), s["head"].rlike(CUES).cast("int").alias("cue"), touch(last).alias("before"), touch(nxt).alias("after"),
                 _right(name, s["hit"]).alias("right"),
             )
 
@@ -163,8 +208,29 @@ def _tables(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *(_valid(k, f).alias(k) for k, f in base.items()), cands.alias("cands"))
 
 
-def _overlaps(s: Column, found: Column, gap: int = 0) -> Column:
-    return F.exists(found, lambda b: (b["start"] < s["end"] + gap) & (b["end"] + gap > s["start"]))
+def _first(found: Column, test) -> Column:
+    """How many spans of a sorted array pass a test that all fail from some place on; by halving."""
+    span = F.struct(F.lit(0).alias("lo"), F.size(found).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        low = (acc["lo"] < acc["hi"]) & F.coalesce(test(F.get(found, mid)), F.lit(False))
+        return F.struct(F.when(low, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(found)))), span, halve, lambda acc: acc["lo"])
+
+
+def _covers(s: Column, found: Column) -> Column:
+    """Whether a candidate overlaps a span of a kind; these are sorted and never overlap one another."""
+    last = F.get(found, _first(found, lambda b: b["start"] < s["end"]) - 1)
+    return F.coalesce(last["end"] > s["start"], F.lit(False))
+
+
+def _near(s: Column, found: Column) -> Column:
+    """Whether a span of a kind lies within ``NEAR`` characters of a candidate without overlapping it."""
+    before = F.get(found, _first(found, lambda b: b["end"] <= s["start"]) - 1)
+    after = F.get(found, _first(found, lambda b: b["start"] < s["end"]))
+    return F.coalesce(before["end"] + NEAR > s["start"], F.lit(False)) | F.coalesce(after["start"] - NEAR < s["end"], F.lit(False))
 
 
 Tree = tuple
@@ -251,8 +317,8 @@ def find(docs: DataFrame) -> DataFrame:
     names = ["start", "end", "right", *(n for n in FEATURES if n != "near")]
 
     def near(s: Column) -> Column:
-        others = F.filter(F.col("base"), lambda b: ~((b["start"] < s["end"]) & (b["end"] > s["start"])))
-        return F.struct(*(s[n].alias(n) for n in names), _overlaps(s, others, NEAR).cast("int").alias("near"), _overlaps(s, F.col("base")).cast("int").alias("covers"))
+        of_any = lambda test: reduce(or_, (test(s, F.col(k)) for k in KINDS[:BASE])).cast("int")
+        return F.struct(*(s[n].alias(n) for n in names), of_any(_near).alias("near"), of_any(_covers).alias("covers"))
 
     rows = rows.withColumn("cands", F.transform("cands", near))
     counts = rows.where(F.size("cands") > 0).select(F.explode("cands").alias("c")).groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(F.count(F.lit(1)).alias("w"), F.sum(F.greatest("c.covers", "c.right")).alias("p"))
