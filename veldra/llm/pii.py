@@ -7,7 +7,7 @@ near.  Gradient-boosted trees over these vectors learn how likely such a candida
 are all candidates of the corpus, positive where they cover a base span or their format checks (identity numbers and
 short cards have no base pattern: ranges of social security numbers, check digits of the others), so the trees see counts per vector, a
 table of at most some thousand rows whatever the corpus.  For every generator the threshold is the lowest score at
-which the examples above it are right in ``PRECISION`` of all cases; candidates from there on are added to the base
+which the held-out examples above it are right in ``PRECISION`` of all cases; candidates from there on are added to the base
 spans.  The trees run as CASE expressions.
 
 Patterns are written so that Java's engine runs them in linear time and without recursion: separators between two
@@ -321,11 +321,15 @@ def find(docs: DataFrame) -> DataFrame:
         return F.struct(*(s[n].alias(n) for n in names), of_any(_near).alias("near"), of_any(_covers).alias("covers"))
 
     rows = rows.withColumn("cands", F.transform("cands", near))
-    counts = rows.where(F.size("cands") > 0).select(F.explode("cands").alias("c")).groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(F.count(F.lit(1)).alias("w"), F.sum(F.greatest("c.covers", "c.right")).alias("p"))
-    # at most the product of the sizes in FEATURES, whatever the corpus
-    learned = [({n: r[n] for n in FEATURES}, float(r["w"]), float(r["p"])) for r in counts.orderBy(*FEATURES).collect()]
-    start, trees = boost(learned)
-    limits = thresholds(learned, [start + sum(_run(t, x) for t in trees) for x, _, _ in learned])
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int")
+    counts = rows.where(F.size("cands") > 0).select(held_out.alias("fold"), F.explode("cands").alias("c"))
+    counts = counts.groupBy("fold", *(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(F.count(F.lit(1)).alias("w"), F.sum(F.greatest("c.covers", "c.right")).alias("p"))
+    # at most twice the product of the sizes in FEATURES, whatever the corpus
+    learned: tuple[list, list] = ([], [])
+    for r in counts.orderBy("fold", *FEATURES).collect():
+        learned[r["fold"]].append(({n: r[n] for n in FEATURES}, float(r["w"]), float(r["p"])))
+    start, trees = boost(learned[0])
+    limits = thresholds(learned[1], [start + sum(_run(t, x) for t in trees) for x, _, _ in learned[1]])
     margin = " + ".join([repr(start) + "D", *(_sql(t, "c") for t in trees)])
     chosen = " OR ".join(f"(c.gen = {g} AND {margin} >= {limit - 1e-9!r}D)" for g, limit in enumerate(limits) if limit < float("inf")) or "false"
     extra = F.expr(f"transform(filter(cands, c -> c.covers = 0 AND ({chosen})), c -> named_struct('start', c.start, 'kind', {BASE} + c.gen, 'end', c.end))")
