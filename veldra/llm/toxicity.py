@@ -9,7 +9,10 @@ quotation marks around it and verbs of speech before it speak for a quotation, f
 logistic model over these counts gives the score.
 
 Labels are learned from rows only whose crc32(doc_id as text) mod 5 is not 0, and from at most ``SAMPLE`` of them
-(those of the smallest hash); the lexicon, the exceptions and the model are a few kilobytes.  Scoring is one pass
+(those of the smallest hash).  Of these, examples of one label that share the smallest hash of their shingles count
+once, so that a passage copied many times doesn't look telling; a pair of unlike examples meets that fate only as
+often as it shares shingles.  The lexicon has at most ``TERMS`` terms and stems, the strongest; it, the exceptions
+and the model are a few kilobytes.  Scoring is one pass
 over whole texts without a shuffle.
 
 Cases: null and empty texts score as texts without hits; null labels and labels without a document teach nothing;
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, whole_texts
+from .common import discard, materialize, sliced, whole_texts
 from .near_dedup import shingle_set
 
 #: At most so many labelled rows teach the model.
@@ -279,6 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     examples = materialize(_without_copies(texts.join(picked, F.col("doc_id") == F.col("own")).select("text", "toxic")), "examples")
     sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
+        discard(examples)
         return [], [], frozenset(), frozenset(), None
     least = max(3, int(SUPPORT * sizes[1]))
     toxic = {r["term"]: r["n"] for r in _count_terms(examples, 1, None).where(F.col("n") >= least).collect()}
@@ -306,6 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # at most twice the rows of the sample, six numbers each
     got = examples.select("text", "toxic").mapInArrow(rows, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    discard(examples)
     x = np.repeat(np.array([r["x"] for r in got]), [r["n"] for r in got], axis=0)
     y = np.repeat(np.array([r["y"] for r in got], float), [r["n"] for r in got])
     return terms, stems, known, strict, fit_logistic(x, y)
