@@ -136,6 +136,21 @@ def test_life_cycle_over_restarts(spark, tmp_path):
     assert VectorEngine(spark, path, conf).metas == {}
 
 
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "ip"])
+def test_a_beam_that_covers_the_part_is_exact(spark, metric):
+    """Near copies in tight groups fill each other's links, and rows that none leads to were never found."""
+    rng = np.random.default_rng(9)
+    x = (np.repeat(rng.normal(size=(30, 6)), 20, 0) + 1e-3 * rng.normal(size=(600, 6))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    engine = VectorEngine(spark)
+    engine.create_index("i", df, "vec", "id", metric=metric, M=4, ef_construction=8)
+    engine.remove("i", [0, 7, 599])
+    live = df.where("id not in (0, 7, 599)")
+    want = knn.knn_pairs(live, "id", "vec", live, "id", "vec", 5, {"l2sq": "l2", "cosine": "cosine_distance", "ip": "negative_inner_product"}[metric])
+    got = engine.search_many("i", live, "id", "vec", 5, 300).select("query", "key", "rn")
+    assert sorted(map(tuple, got.collect())) == sorted((r["o"], r["i"], r["rn"]) for r in want.collect())
+
+
 def test_choice_and_silent_fallback(spark, grid):
     engine = VectorEngine(spark)
     for metric in ("l2sq", "cosine", "ip"):

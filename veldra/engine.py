@@ -24,12 +24,16 @@ from .functions.metrics import INDEX_METRICS, distance
 from .functions.vector import vector
 from .operators.graph import Graph
 from .operators.knn import knn_pairs, knn_scan
+from .operators.nearest import Candidates
 from .plans import messages
 from .plans.options import MAX_K, IndexError_, IndexOptions
 from .sources import files
 
 #: Rows a part is meant to hold: some minutes of building, some MB of vectors.
 PART_ROWS = 20_000
+#: A beam that keeps one row of so many or more would measure most of a part, and might still miss rows that no link
+#: leads to: the part is scanned, which finds the nearest for certain.
+SCAN_SHARE = 5
 SEGMENT = "part int, slot int, key long, level int, neighbors array<array<int>>, vec array<float>"
 INFO = (
     "catalog_name string, schema_name string, index_name string, table_name string, metric string, dimensions long, count long, capacity long, "
@@ -243,7 +247,8 @@ class VectorEngine:
 
     def search_many(self, name: str, queries: DataFrame, query_key: str, query_col: str, k: int, ef_search: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
         """(query, key, dist, rn) of the k nearest found for every query; distances are exact.  ``allowed`` is a table
-        of keys: others are walked through but never returned.
+        of keys: others are walked through but never returned.  A beam wide enough to cover a part makes the search of
+        that part exact.
 
         Each graph part answers all queries of its blocks; queries are dealt into blocks of bounded size."""
         meta = self._meta(name)
@@ -267,8 +272,14 @@ class VectorEngine:
             asks = table.column("slot").is_null()
             rows, wanted = table.filter(pa.compute.invert(asks)).sort_by("slot"), table.filter(asks)
             out: tuple[list, list] = ([], [])
-            if rows.num_rows and wanted.num_rows:
+            if rows.num_rows and wanted.num_rows and k:
                 read = lambda t: np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+                if ef * SCAN_SHARE >= rows.num_rows:
+                    alive = rows.filter(pa.compute.invert(rows.column("dead")))
+                    vectors = read(alive) if alive.num_rows else np.zeros((0, meta["dim"]))
+                    held = Candidates(INDEX_METRICS[o["metric"]], vectors, np.ones(alive.num_rows, bool), alive.column("key").to_numpy(), k)
+                    near = held.nearest(read(wanted))[0]
+                    return pa.table({"q": pa.array(np.repeat(wanted.column("key").to_numpy(), near.shape[1])), "key": pa.array(near.ravel())})
                 graph = Graph.load(rows.column("key").to_numpy(), rows.column("level").to_numpy(), rows.column("neighbors").to_pylist(), read(rows), o["metric"], o["M"], o["M0"])
                 dead = np.asarray(rows.column("dead"))
                 for q, v in zip(wanted.column("key").to_pylist(), read(wanted), strict=True):
