@@ -1,10 +1,10 @@
 """Nearest-neighbour operators: scans, top-k aggregates, joins and their macro forms.
 
 Exact by default.  One query is an expression and a limit, which Catalyst runs as TakeOrderedAndProject after
-pushing filters and columns into the scan.  Joins run as blocks: Arrow batches of both sides meet in NumPy.  A small
-inner side (its size is checked) is broadcast and the outer side is never shuffled; beyond that both sides are dealt
-into a grid of bounded blocks, each task returns its best k per outer row, and a window with a partial group limit
-merges them.  Neither path makes the cross product as rows.
+pushing filters and columns into the scan.  Joins run as blocks: Arrow batches of both sides meet in NumPy
+(``nearest.py``).  A small inner side (its size is checked) is broadcast; beyond that both sides are dealt into a grid
+of bounded blocks, one task per block of the grid returns its best k per outer row, and a window with a partial group
+limit merges them.  Neither path makes the cross product as rows.
 
 Ties go to the smaller key.  Distances sort numbers, then NaN, then null (a null or missing vector), as plain SQL
 with NULLS LAST would.
@@ -16,16 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.metrics import RANKINGS, constant_distance, distance, exact_pairs
+from ..functions.metrics import RANKINGS, constant_distance, distance, exact_pairs  # noqa: F401
 from ..plans import messages
+from .nearest import Candidates
 
-#: An inner side of at most so many bytes is broadcast; larger ones are dealt into blocks of so many rows.
+#: An inner side of at most so many bytes is broadcast.
 BROADCAST_BYTES, BLOCK_ROWS = 32 << 20, 4096
+#: Beyond that a side has up to GRID blocks of LEAST_ROWS rows or more, and more blocks only where they would hold over
+#: BLOCK_BYTES of vectors: a row is sent GRID times, however many there are, until blocks are full.
+GRID, LEAST_ROWS, BLOCK_BYTES = 16, 2048, 32 << 20
+#: Rows of an answer that leave a worker at once.
+ANSWERS = 1 << 18
 #: An outer side that is planned to hold less is dealt out before the search.
 SMALL_BYTES = 64 << 20
 #: Metric names of the join macros: value, and whether large is near.
@@ -91,31 +96,14 @@ def _matrix(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, given
 
 
-def _nearest(metric: str, q: np.ndarray, q_given: np.ndarray, x: np.ndarray, x_given: np.ndarray, x_keys: np.ndarray, k: int):
-    """For each q the places of its k nearest x in order, and their values (masked where null)."""
-    ranking = RANKINGS[metric]
-    sign = -1.0 if ranking.descending else 1.0
-    if q.shape[1] != x.shape[1] and q_given.any() and x_given.any():
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of a block as one: rows of zeros for null vectors, which rows are vectors, keys."""
+    dims = {m.shape[1] for m, given, _ in parts if given.any()}
+    if len(dims) > 1:
         raise ValueError("vectors must have the same dimension")
-    by_key = np.argsort(x_keys, kind="stable")
-    for at in range(0, len(q), 512):
-        part, ok = q[at : at + 512], q_given[at : at + 512]
-        values = sign * ranking.block(part, x) if x_given.any() and ok.any() else np.full((len(part), len(x)), np.nan)
-        near = np.where(np.isnan(values), np.inf, values)
-        for i in range(len(part)):
-            if not ok[i]:
-                yield at + i, by_key[:k], np.full(min(k, len(x)), np.nan), np.ones(min(k, len(x)), bool)
-                continue
-            row = np.where(x_given, near[i], np.inf)
-            if len(row) > k:
-                edge = np.partition(row, k - 1)[k - 1]
-                chosen = np.flatnonzero(row <= edge + 1e-6 * (1 + abs(edge))) if np.isfinite(edge) else np.arange(len(row))
-            else:
-                chosen = np.arange(len(row))
-            exact = sign * exact_pairs(metric, np.broadcast_to(part[i], (len(chosen), part.shape[1])), x[chosen])
-            rank = np.where(~x_given[chosen], 2, np.where(np.isnan(exact), 1, 0))
-            order = np.lexsort((x_keys[chosen], np.where(rank == 0, exact, 0), rank))[:k]
-            yield at + i, chosen[order], sign * exact[order], ~x_given[chosen[order]]
+    d = dims.pop() if dims else 0
+    rows = [m if given.any() else np.zeros((len(m), d)) for m, given, _ in parts]
+    return np.concatenate(rows), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
 def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame, inner_key: str, inner_vec: str, k: int, metric: str = "l2", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -125,55 +113,75 @@ def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame
     left = outer.select(F.col(outer_key).cast("long").alias("o"), F.col(outer_vec).cast("array<double>").alias("ov"))
     right = inner.select(F.col(inner_key).cast("long").alias("i"), F.col(inner_vec).cast("array<double>").alias("iv"))
     schema = "o long, i long, dist double"
+    spark = left.sparkSession
     if k == 0:
-        return left.sparkSession.createDataFrame([], "o long, i long, rn long, dist double")
-    size = right.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("iv")), F.lit(0)).alias("d")).first()
+        return spark.createDataFrame([], "o long, i long, rn long, dist double")
+    count = F.count(F.lit(1)).alias("n")
+    size = right.agg(count, F.coalesce(F.max(F.size("iv")), F.lit(0)).alias("d")).first()
     least = F.col("dist").desc_nulls_last() if RANKINGS[metric].descending else F.col("dist").asc_nulls_last()
     # NaN sorts above all numbers: with large first it would lead, so it is moved behind them
     order = [F.col("dist").isNull(), F.isnan("dist"), least, F.col("i")]
+    asked = left.where("ov is not null")
 
-    def answers(o_keys: np.ndarray, q, q_given, x, x_given, x_keys) -> pa.RecordBatch:
-        rows, places, values, nulls = [], [], [], []
-        for at, chosen, value, null in _nearest(metric, q, q_given, x, x_given, x_keys, k):
-            rows.append(np.full(len(chosen), o_keys[at]))
-            places.append(x_keys[chosen])
-            values.append(value)
-            nulls.append(null)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.RecordBatch.from_arrays([pa.array(join(rows, np.int64)), pa.array(join(places, np.int64)), pa.array(join(values, float), mask=join(nulls, bool), from_pandas=False)], ["o", "i", "dist"])
+    def answers(held: Candidates, o_keys: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # a batch at a time leaves the worker, so that what it holds doesn't grow with k
+        for at in range(0, len(q), step := max(1, ANSWERS // k)):
+            keys, values, nulls = held.nearest(q[at : at + step])
+            rows = np.repeat(o_keys[at : at + step], keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(keys.ravel()), pa.array(values.ravel(), mask=nulls.ravel(), from_pandas=False)], ["o", "i", "dist"])
 
     if size["n"] * (8 * size["d"] + 8) <= broadcast_bytes:
         held = right.toArrow()
         x, x_given = _matrix(held.column("iv"))
-        shared = left.sparkSession.sparkContext.broadcast((x, x_given, held.column("i").to_numpy()))
+        shared = spark.sparkContext.broadcast((x, x_given, held.column("i").to_numpy()))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, x_given, x_keys = shared.value
+            held = None
             for batch in batches:
-                if batch.num_rows and len(x_keys):
-                    q, q_given = _matrix(batch.column(1))
-                    yield answers(batch.column(0).to_numpy(), q, q_given, x, x_given, x_keys)
+                if batch.num_rows and len(shared.value[2]):
+                    held = held or Candidates(metric, *shared.value, k)
+                    yield from answers(held, batch.column(0).to_numpy(), _matrix(batch.column(1))[0])
 
         # a small outer side may be one file and so one task: dealing it out costs little.  A large one stays where it is
-        small = int(str(left._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
-        spread = left.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "o") if small else left
+        small = int(str(asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+        spread = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o") if small else asked
         found = spread.mapInArrow(scan, schema)
     else:
-        blocks = 1 + size["n"] // BLOCK_ROWS
-        outer_blocks = 1 + left.count() // BLOCK_ROWS
+        hash_of = F.xxhash64("ov")
+        kinds = asked.groupBy(hash_of.alias("h")).count()
+        most = max(BLOCK_ROWS, BLOCK_BYTES // (8 * size["d"] + 8))
+        side = lambda n: max(min(GRID, 1 + n // LEAST_ROWS), -(-n // most))
+        # equal vectors meet in one block, which measures them once; of those with many copies each copy goes its own way
+        total = kinds.agg(F.sum("count").alias("n"), F.collect_list(F.when(F.col("count") > LEAST_ROWS, F.col("h"))).alias("many")).first()
+        outer_blocks, blocks = side(total["n"] or 0), side(size["n"])
+        deal = lambda c, n: F.pmod(c, F.lit(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        a = left.select(deal("o", outer_blocks).alias("ob"), each(blocks).alias("ib"), F.lit(True).alias("asks"), F.col("o").alias("id"), F.col("ov").alias("v"))
-        b = right.select(each(outer_blocks).alias("ob"), deal("i", blocks).alias("ib"), F.lit(False).alias("asks"), F.col("i").alias("id"), F.col("iv").alias("v"))
-
-        def meet(table: pa.Table) -> pa.Table:
-            asks = table.column("asks")
-            mine, theirs = table.filter(asks), table.filter(pa.compute.invert(asks))
-            if not mine.num_rows or not theirs.num_rows:
-                return pa.table({"o": pa.array([], pa.int64()), "i": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-            return pa.Table.from_batches([answers(mine.column("id").to_numpy(), *_matrix(mine.column("v")), *_matrix(theirs.column("v")), theirs.column("id").to_numpy())])
-
-        found = a.unionByName(b).groupBy("ob", "ib").applyInArrow(meet, schema)
+        spread = F.when(hash_of.isin(total["many"]), F.xxhash64("o")).otherwise(hash_of) if total["many"] else hash_of
+        a = asked.select(deal(spread, outer_blocks).alias("ob"), each(blocks).alias("ib"), F.lit(True).alias("asks"), F.col("o").alias("id"), F.col("ov").alias("v"))
+        b = right.select(each(outer_blocks).alias("ob"), deal(F.xxhash64("i"), blocks).alias("ib"), F.lit(False).alias("asks"), F.col("i").alias("id"), F.col("iv").alias("v"))
+        dealt = a.unionByName(b).select((F.col("ob") * blocks + F.col("ib")).alias("block"), "asks", "id", "v")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, tuple[list, list]] = {}
+            for batch in batches:
+                block, asks = batch.column("block").to_numpy(), np.asarray(batch.column("asks"))
+                for one in np.unique(block).tolist():
+                    for mine in (True, False):
+                        rows = batch.filter(pa.array((block == one) & (asks == mine)))
+                        if rows.num_rows:
+                            parts.setdefault(one, ([], []))[not mine].append((*_matrix(rows.column("v")), rows.column("id").to_numpy()))
+            while parts:
+                mine, theirs = parts.popitem()[1]
+                if mine and theirs:
+                    (q, _, o_keys), (x, x_given, x_keys) = _joined(mine), _joined(theirs)
+                    yield from answers(Candidates(metric, x, x_given, x_keys, k), o_keys, q)
+
+        # one block, one task: nothing is sorted, and no two blocks share a partition by chance
+        found = dealt.repartitionById(outer_blocks * blocks, F.col("block")).mapInArrow(meet, schema)
+    if not left.where("ov is null").isEmpty():
+        # a null vector is equally far from all: the smallest keys
+        first = right.select("i").orderBy("i").limit(k)
+        found = found.unionByName(left.where("ov is null").select("o").crossJoin(F.broadcast(first)).withColumn("dist", F.lit(None).cast("double")))
     ranked = found.withColumn("rn", F.row_number().over(W.partitionBy("o").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rn") <= k).select("o", "i", "rn", "dist")
 
