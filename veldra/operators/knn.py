@@ -28,7 +28,7 @@ from .nearest import Candidates
 BROADCAST_BYTES, BLOCK_ROWS = 32 << 20, 4096
 #: Beyond that a side has up to GRID blocks of LEAST_ROWS rows or more, and more blocks only where they would hold over
 #: BLOCK_BYTES of vectors: a row is sent GRID times, however many there are, until blocks are full.
-GRID, LEAST_ROWS, BLOCK_BYTES = 16, 2048, 32 << 20
+GRID, LEAST_ROWS, BLOCK_BYTES = 16, 16_384, 32 << 20
 #: Rows of an answer that leave a worker at once.
 ANSWERS = 1 << 18
 #: An outer side that is planned to hold less is dealt out before the search.
