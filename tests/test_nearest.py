@@ -60,6 +60,21 @@ def test_like_vectors_are_measured_once_and_memory_stays_bounded(monkeypatch):
     assert (keys == (np.arange(4000) % 3)[:, None] + [0, 3]).all() and not values.any() and sum(seen) < 100
 
 
+def test_tiles_that_promise_most_come_first(monkeypatch):
+    """Where short vectors are the nearest to long ones, tiles in the order of lengths brought over 100 pairs a query."""
+    kept = []
+    real = np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda m: kept.append(len(found := real(m)) * (np.ndim(m) == 2)) or found)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x *= (1 + np.arange(20_000) % 5)[:, None] / np.linalg.norm(x, axis=1)[:, None]
+    held = nearest.Candidates("l2", x, np.ones(20_000, bool), np.arange(20_000), 3)
+    keys, values, _ = held.nearest(x[:500])
+    assert (keys[:, 0] == np.arange(500)).all() and not values[:, 0].any() and sum(kept) < 30 * 500
+    for got, want in zip(keys[:20], brute("l2", x[:20], x, np.ones(20_000, bool), np.arange(20_000), 3), strict=True):
+        assert got.tolist() == want[0].tolist()
+
+
 def test_grid_sends_a_row_no_oftener_as_tables_grow(spark, monkeypatch):
     """The rows dealt to blocks grow with the table, not with its square; equal outer vectors meet in one block."""
     monkeypatch.setattr(knn, "GRID", 3)

@@ -15,6 +15,8 @@ from ..functions.metrics import RANKINGS, exact_pairs
 
 #: Pairs in a tile, candidates of a tile of queries that are held before they are narrowed, components measured at once.
 TILE, HELD, EXACT = 1 << 19, 1 << 20, 1 << 21
+#: One candidate of so many is tried before a tile of queries is, to see which tiles of candidates come first.
+PROBE = 32
 #: Lengths of vectors that the products serve, and how much longer than all candidates a query may be.
 SHORT, LONG, RATIO = 1e-140, 1e140, 1e15
 
@@ -62,7 +64,7 @@ class Candidates:
         chosen = order[place < k]
         size = _lengths(x[chosen])
         even = self._even(size, x[chosen])
-        # regular rows by length: the nearest in length first where it is a distance, else the longest
+        # regular rows by length, the longest first where it isn't a distance
         regular = np.flatnonzero(even)[np.argsort(size[even] if self.l2 else -size[even], kind="stable")]
         odd = np.flatnonzero(~even)
         self.x, self.keys, self.n = x[chosen][np.r_[regular, odd]], keys[chosen][np.r_[regular, odd]], len(regular)
@@ -74,9 +76,11 @@ class Candidates:
         unit = self.x[: self.n] / (size[:, None] if self.cosine else self.scale)
         self.size = np.ones(self.n) if self.cosine else size / self.scale
         extra = [0.5 * self.size[:, None] ** 2] if self.l2 else []
-        self.right = np.ascontiguousarray(np.hstack([unit, *extra]).astype(self.kind).T)
+        self.right = np.hstack([unit, *extra]).astype(self.kind)
         self.width = max(2048, 8 * k)
         self.height = max(8, TILE // self.width)
+        #: Room for the scores of a tile and what is kept of them, used again for every tile.
+        self.room = np.empty(0, self.kind), np.empty(0, bool)
 
     def _even(self, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
         even = np.isfinite(size) & (size > SHORT) & (size < LONG)
@@ -144,8 +148,15 @@ class Candidates:
         starts = np.arange(0, self.n, self.width)
         ends = np.minimum(starts + self.width, self.n)
         lo, hi = np.minimum(self.size[starts], self.size[ends - 1]), np.maximum(self.size[starts], self.size[ends - 1])
-        middle = size[m // 2]
-        turns = np.argsort(np.maximum(lo - middle, 0) + np.maximum(middle - hi, 0), kind="stable") if self.l2 else np.arange(len(starts))
+        cells = m * min(self.width, self.n)
+        if len(self.room[0]) < cells:
+            self.room = np.empty(cells, self.kind), np.empty(cells, bool)
+        turns = np.arange(len(starts))
+        if self.l2 and len(starts) > 1:
+            # the tile that promises the least scores first, or most later ones would bring better candidates
+            probe = np.minimum(starts[:, None] + np.arange(0, self.width, PROBE), self.n - 1)
+            seen = (left @ self.right[probe.ravel()].T).reshape(m, *probe.shape).min(axis=2)
+            turns = np.argsort(np.median(seen, axis=0), kind="stable")
         for t in turns:
             error = self.error * (size * hi[t] + (0.5 * hi[t] ** 2 if self.l2 else 0)) + 1e-30
             limit = best[:, -1] + error
@@ -153,10 +164,13 @@ class Candidates:
             r = np.clip(size, lo[t], hi[t])
             if ((0.5 * r * r - size * r if self.l2 else -size * hi[t]) > limit + error).all():
                 continue
-            score = left @ self.right[:, starts[t] : ends[t]]
+            cells = m * (ends[t] - starts[t])
+            score, near = (room[:cells].reshape(m, -1) for room in self.room)
+            np.matmul(left, self.right[starts[t] : ends[t]].T, out=score)
             if not np.isfinite(limit).all() and score.shape[1] > k:
                 limit = np.minimum(limit, np.partition(score, k - 1, axis=1)[:, k - 1] + 2 * error)
-            flat = np.flatnonzero(score <= np.nextafter(limit.astype(self.kind), self.kind(np.inf))[:, None])
+            np.less_equal(score, np.nextafter(limit.astype(self.kind), self.kind(np.inf))[:, None], out=near)
+            flat = np.flatnonzero(near)
             if not len(flat):
                 continue
             rows, columns = np.divmod(flat, score.shape[1])
