@@ -109,7 +109,8 @@ class VectorEngine:
                 "neighbors": pa.array(links, pa.list_(pa.list_(pa.int32()))), "vec": pa.array([v.astype(np.float32) for v in vecs], pa.list_(pa.float32())),
             })
 
-        dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(meta["parts"])).cast("int"))
+        # one part, one task
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(meta["parts"])).cast("int")).repartitionById(meta["parts"], F.col("part"))
         segment = f"{self.root}/{meta['name']}/segment-{uuid.uuid4().hex}"
         dealt.groupBy("part").applyInArrow(build, SEGMENT).write.parquet(segment)
         meta["segment"] = segment
@@ -282,13 +283,19 @@ class VectorEngine:
                     return pa.table({"q": pa.array(np.repeat(wanted.column("key").to_numpy(), near.shape[1])), "key": pa.array(near.ravel())})
                 graph = Graph.load(rows.column("key").to_numpy(), rows.column("level").to_numpy(), rows.column("neighbors").to_pylist(), read(rows), o["metric"], o["M"], o["M0"])
                 dead = np.asarray(rows.column("dead"))
+                if not dead.any():
+                    slots = graph.search_all(read(wanted), k, ef)
+                    real = slots < len(graph.keys)
+                    asks_for = np.broadcast_to(wanted.column("key").to_numpy()[:, None], slots.shape)
+                    return pa.table({"q": pa.array(asks_for[real]), "key": pa.array(graph.keys[slots[real]])})
                 for q, v in zip(wanted.column("key").to_pylist(), read(wanted), strict=True):
                     for _, slot in graph.search(v, k, ef, dead if dead.any() else None):
                         out[0].append(q)
                         out[1].append(int(graph.keys[slot]))
             return pa.table({"q": pa.array(out[0], pa.int64()), "key": pa.array(out[1], pa.int64())})
 
-        found = graph.unionByName(dealt).groupBy("part", "block").applyInArrow(search, "q long, key long")
+        cells = graph.unionByName(dealt).withColumn("cell", F.col("part") * blocks + F.col("block")).drop("part", "block")
+        found = cells.repartitionById(max(meta["parts"], 1) * blocks, F.col("cell")).groupBy("cell").applyInArrow(search, "q long, key long")
         shown = INDEX_METRICS[o["metric"]]
         exact = found.join(self._graph_rows(meta).select("key", "vec"), "key").join(asked, "q")
         exact = exact.select("q", "key", distance(shown, F.col("vec"), F.col("qv"), meta["dim"]).alias("dist"))
