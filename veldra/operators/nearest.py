@@ -1,8 +1,9 @@
 """The k nearest of many vectors for every one of others, exactly, in tiles of bounded size.
 
 Scores come as products of tiles in 32-bit floats with a proven bound of their error; whatever may be among the k
-nearest within that bound is measured again in double precision, component by component.  Tiles follow the vectors'
-lengths, so that one whose lengths alone put it too far is skipped.  Vectors that are equal in every bit are measured
+nearest within that bound is measured again in double precision, component by component.  Of a tile only the rows
+whose least score is within the bound are looked through.  Tiles follow the vectors' lengths, so that one whose lengths
+alone put it too far is skipped.  Vectors that are equal in every bit are measured
 once, and of equal candidates the k of smallest keys stand for all.  Rows out of the range of 32-bit floats, such as
 those with components that are not finite or without a direction, are measured against everything.
 """
@@ -13,8 +14,10 @@ import numpy as np
 
 from ..functions.metrics import RANKINGS, exact_pairs
 
-#: Pairs in a tile, candidates of a tile of queries that are held before they are narrowed, components measured at once.
-TILE, HELD, EXACT = 1 << 19, 1 << 20, 1 << 21
+#: Pairs in a tile and its least width, which stay in a core's cache.
+TILE, WIDTH = 1 << 18, 512
+#: Candidates of a tile of queries that are held before they are narrowed, components measured at once.
+HELD, EXACT = 1 << 20, 1 << 21
 #: One candidate of so many is tried before a tile of queries is, to see which tiles of candidates come first.
 PROBE = 32
 #: Lengths of vectors that the products serve, and how much longer than all candidates a query may be.
@@ -56,7 +59,8 @@ class Candidates:
         self.l2, self.cosine = metric == "l2", metric.startswith("cosine")
         self.given = bool(given.any())
         self.null_keys = np.sort(keys[~given])[:k]
-        x, keys = x[given], keys[given]
+        if not given.all():
+            x, keys = x[given], keys[given]
         group = alike(x)
         order = np.lexsort((keys, group))
         first = np.r_[True, np.diff(group[order]) > 0] if len(order) else np.zeros(0, bool)
@@ -67,7 +71,8 @@ class Candidates:
         # regular rows by length, the longest first where it isn't a distance
         regular = np.flatnonzero(even)[np.argsort(size[even] if self.l2 else -size[even], kind="stable")]
         odd = np.flatnonzero(~even)
-        self.x, self.keys, self.n = x[chosen][np.r_[regular, odd]], keys[chosen][np.r_[regular, odd]], len(regular)
+        chosen = chosen[np.r_[regular, odd]]
+        self.x, self.keys, self.n = x[chosen], keys[chosen], len(regular)
         size = size[regular]
         self.scale = 2.0 ** np.ceil(np.log2(size.max())) if self.n and size.max() > 0 else 1.0
         self.kind = np.float32 if self.dim <= 1024 else np.float64
@@ -77,10 +82,10 @@ class Candidates:
         self.size = np.ones(self.n) if self.cosine else size / self.scale
         extra = [0.5 * self.size[:, None] ** 2] if self.l2 else []
         self.right = np.hstack([unit, *extra]).astype(self.kind)
-        self.width = max(2048, 8 * k)
+        self.width = max(WIDTH, 8 * k)
         self.height = max(8, TILE // self.width)
-        #: Room for the scores of a tile and what is kept of them, used again for every tile.
-        self.room = np.empty(0, self.kind), np.empty(0, bool)
+        #: Room for the scores of a tile, used again for every tile.
+        self.room = np.empty(0, self.kind)
 
     def _even(self, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
         even = np.isfinite(size) & (size > SHORT) & (size < LONG)
@@ -144,13 +149,13 @@ class Candidates:
         left = -(q / (_lengths(q)[:, None] if self.cosine else self.scale))
         left = np.hstack([left, np.ones((m, 1))] if self.l2 else [left]).astype(self.kind)
         best = np.full((m, k), np.inf)  # upper bounds of the k least scores
-        own, place, low = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        held, count = [], 0
         starts = np.arange(0, self.n, self.width)
         ends = np.minimum(starts + self.width, self.n)
         lo, hi = np.minimum(self.size[starts], self.size[ends - 1]), np.maximum(self.size[starts], self.size[ends - 1])
         cells = m * min(self.width, self.n)
-        if len(self.room[0]) < cells:
-            self.room = np.empty(cells, self.kind), np.empty(cells, bool)
+        if len(self.room) < cells:
+            self.room = np.empty(cells, self.kind)
         turns = np.arange(len(starts))
         if self.l2 and len(starts) > 1:
             # the tile that promises the least scores first, or most later ones would bring better candidates
@@ -164,27 +169,45 @@ class Candidates:
             r = np.clip(size, lo[t], hi[t])
             if ((0.5 * r * r - size * r if self.l2 else -size * hi[t]) > limit + error).all():
                 continue
-            cells = m * (ends[t] - starts[t])
-            score, near = (room[:cells].reshape(m, -1) for room in self.room)
+            score = self.room[: m * (ends[t] - starts[t])].reshape(m, -1)
             np.matmul(left, self.right[starts[t] : ends[t]].T, out=score)
             if not np.isfinite(limit).all() and score.shape[1] > k:
                 limit = np.minimum(limit, np.partition(score, k - 1, axis=1)[:, k - 1] + 2 * error)
-            np.less_equal(score, np.nextafter(limit.astype(self.kind), self.kind(np.inf))[:, None], out=near)
-            flat = np.flatnonzero(near)
-            if not len(flat):
+            top = np.nextafter(limit.astype(self.kind), self.kind(np.inf))
+            near = np.flatnonzero(score.min(axis=1) <= top)
+            if not len(near):
                 continue
+            flat = np.flatnonzero(score[near] <= top[near, None])
             rows, columns = np.divmod(flat, score.shape[1])
-            value = score.ravel()[flat].astype(float)
-            own, place, low = np.r_[own, rows], np.r_[place, columns + starts[t]], np.r_[low, value - error[rows]]
-            hit = np.unique(rows)
-            every, bound = np.r_[rows, np.repeat(hit, k)], np.r_[value + error[rows], best[hit].ravel()]
-            order = np.lexsort((bound, every))
-            best[hit] = bound[order][np.searchsorted(every[order], hit)[:, None] + np.arange(k)]
-            if len(own) > HELD:
-                own, place, low = self._narrow(q, own, place, low, best)
+            rows = near[rows]
+            value = score[rows, columns].astype(float)
+            held.append((rows, columns + starts[t], value - error[rows]))
+            self._improve(best, rows, value + error[rows])
+            if (count := count + len(rows)) > HELD:
+                held = [self._narrow(q, *map(np.concatenate, zip(*held, strict=True)), best)]
+                count = len(held[0][0])
+        if not held:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        own, place, low = map(np.concatenate, zip(*held, strict=True))
         keep = low <= best[own, -1]
         return own[keep], place[keep]
 
+    def _improve(self, best: np.ndarray, rows: np.ndarray, bound: np.ndarray) -> None:
+        """Takes ``bound`` of the ascending ``rows`` into the k least of each."""
+        k = self.k
+        start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        hit, count = rows[start], np.diff(np.r_[start, len(rows)])
+        most = int(count.max())
+        if most <= 2 * k + 6:
+            new = np.full((len(hit), k + most), np.inf)
+            new[:, :k] = best[hit]
+            new[np.repeat(np.arange(len(hit)), count), k + np.arange(len(rows)) - np.repeat(start, count)] = bound
+            best[hit] = np.sort(new, axis=1)[:, :k]
+        else:
+            every, bound = np.r_[rows, np.repeat(hit, k)], np.r_[bound, best[hit].ravel()]
+            order = np.lexsort((bound, every))
+            best[hit] = bound[order][np.searchsorted(every[order], hit)[:, None] + np.arange(k)]
+
     def _narrow(self, q, own, place, low, best):
         keep = low <= best[own, -1]
         own, place, low = own[keep], place[keep], low[keep]
