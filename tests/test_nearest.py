@@ -112,3 +112,32 @@ def test_join_of_null_repeated_and_zero_vectors(spark, metric, bytes_, monkeypat
         want |= {(o, rn + 1): r for rn, r in enumerate(rows)}
     got = {(r["o"], r["rn"]): (r["i"], r["dist"]) for r in knn.knn_pairs(df, "i", "v", df, "i", "v", 4, metric, broadcast_bytes=bytes_).collect()}
     assert repr(sorted(got.items())) == repr(sorted(want.items()))
+
+
+def test_grid_is_no_finer_than_the_cores_take(spark, monkeypatch):
+    """16 by 16 blocks sent every row 16 times where 6 by 6 keep the cores busy; full blocks still make more."""
+    monkeypatch.setattr(knn, "LEAST_ROWS", 10)
+    df = spark.range(2000).select("id", F.array((F.col("id") % 97).cast("double"), (F.col("id") % 89).cast("double")).alias("v"))
+
+    def tasks() -> list[str]:
+        plan = knn.knn_pairs(df, "id", "v", df, "id", "v", 2, broadcast_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
+        return re.findall(r"RepartitionByExpression .*, (\d+)\n", plan)
+
+    assert tasks() == ["36"]
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 1)
+    assert tasks() == ["400"]
+
+
+@pytest.mark.parametrize("many", [10, 16_384])
+def test_repeated_outer_rows_are_found_in_blocks_without_sending_their_vectors_before(spark, many, monkeypatch):
+    """Outer rows were told apart by an exchange of whole vectors ahead of the blocks, once for each job of a join."""
+    monkeypatch.setattr(knn, "LEAST_ROWS", many)
+    inner = spark.range(200).select(F.col("id").alias("item"), F.array((F.col("id") % 13).cast("double"), (F.col("id") % 7).cast("double")).alias("bv"))
+    some = inner.select((F.col("item") % 50).alias("asked"), F.when(F.col("item") % 9 > 0, F.col("bv")).alias("av"))
+    outer = some.unionByName(some.where("asked < 20")).unionByName(some.select(F.lit(None).cast("long").alias("asked"), "av"))
+    got = [knn.knn_join(outer, "asked", "av", inner, "item", "bv", 3, broadcast_bytes=size) for size in (1 << 20, 0)]
+    rows = [sorted(map(repr, df.collect())) for df in got]
+    assert rows[0] == rows[1] and len(rows[0]) == 3 * outer.count()
+    plan = got[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "first(av" not in plan

@@ -13,6 +13,7 @@ with NULLS LAST would.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,10 @@ from .nearest import Candidates
 
 #: An inner side of at most so many bytes is broadcast.
 BROADCAST_BYTES, BLOCK_ROWS = 32 << 20, 4096
-#: Beyond that a side has up to GRID blocks of LEAST_ROWS rows or more, and more blocks only where they would hold over
-#: BLOCK_BYTES of vectors: a row is sent GRID times, however many there are, until blocks are full.
-GRID, LEAST_ROWS, BLOCK_BYTES = 16, 16_384, 32 << 20
+#: Beyond that a side has blocks of LEAST_ROWS rows or more: up to SIDE of them, or up to GRID where WAVES tasks a core
+#: take so many, and more only where they would hold over BLOCK_BYTES of vectors.  A row is sent once per block of the
+#: other side, however many rows there are, until blocks are full.
+SIDE, GRID, WAVES, LEAST_ROWS, BLOCK_BYTES = 6, 16, 3, 16_384, 64 << 20
 #: Rows of an answer that leave a worker at once.
 ANSWERS = 1 << 18
 #: An outer side that is planned to hold less is dealt out before the search.
@@ -106,8 +108,9 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return np.concatenate(rows), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
-def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame, inner_key: str, inner_vec: str, k: int, metric: str = "l2", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(outer key, inner key, rn, dist): the k nearest inner rows of every outer row; keys are whole numbers."""
+def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame, inner_key: str, inner_vec: str, k: int, metric: str = "l2", broadcast_bytes: int = BROADCAST_BYTES, repeated: bool = False) -> DataFrame:
+    """(outer key, inner key, rn, dist): the k nearest inner rows of every outer row; keys are whole numbers.  With
+    ``repeated`` outer rows of one key have one vector and count once."""
     if not 0 <= k < 2048:
         raise ValueError("k must lie between 0 and 2047")
     left = outer.select(F.col(outer_key).cast("long").alias("o"), F.col(outer_vec).cast("array<double>").alias("ov"))
@@ -131,6 +134,10 @@ def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(keys.ravel()), pa.array(values.ravel(), mask=nulls.ravel(), from_pandas=False)], ["o", "i", "dist"])
 
     if size["n"] * (8 * size["d"] + 8) <= broadcast_bytes:
+        if repeated:
+            left = left.dropDuplicates(["o"])
+            asked = left.where("ov is not null")
+        holes = not left.where("ov is null").isEmpty()
         held = right.toArrow()
         x, x_given = _matrix(held.column("iv"))
         shared = spark.sparkContext.broadcast((x, x_given, held.column("i").to_numpy()))
@@ -148,12 +155,15 @@ def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame
         found = spread.mapInArrow(scan, schema)
     else:
         hash_of = F.xxhash64("ov")
-        kinds = asked.groupBy(hash_of.alias("h")).count()
+        none = F.col("ov").isNull()
+        kinds = left.groupBy(hash_of.alias("h"), none.alias("none")).count()
         most = max(BLOCK_ROWS, BLOCK_BYTES // (8 * size["d"] + 8))
-        side = lambda n: max(min(GRID, 1 + n // LEAST_ROWS), -(-n // most))
+        busy = max(SIDE, ceil(sqrt(WAVES * spark.sparkContext.defaultParallelism)))
+        side = lambda n: max(min(GRID, busy, 1 + n // LEAST_ROWS), -(-n // most))
         # equal vectors meet in one block, which measures them once; of those with many copies each copy goes its own way
-        total = kinds.agg(F.sum("count").alias("n"), F.collect_list(F.when(F.col("count") > LEAST_ROWS, F.col("h"))).alias("many")).first()
-        outer_blocks, blocks = side(total["n"] or 0), side(size["n"])
+        many = F.when(~F.col("none") & (F.col("count") > LEAST_ROWS), F.col("h"))
+        total = kinds.agg(F.sum(F.when(~F.col("none"), F.col("count"))).alias("n"), F.coalesce(F.bool_or("none"), F.lit(False)).alias("holes"), F.collect_list(many).alias("many")).first()
+        holes, outer_blocks, blocks = total["holes"], side(total["n"] or 0), side(size["n"])
         deal = lambda c, n: F.pmod(c, F.lit(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         spread = F.when(hash_of.isin(total["many"]), F.xxhash64("o")).otherwise(hash_of) if total["many"] else hash_of
@@ -174,14 +184,20 @@ def knn_pairs(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame
                 mine, theirs = parts.popitem()[1]
                 if mine and theirs:
                     (q, _, o_keys), (x, x_given, x_keys) = _joined(mine), _joined(theirs)
+                    mine.clear(), theirs.clear()
+                    if repeated:
+                        # rows of one key have one vector, and so one block
+                        first = np.unique(o_keys, return_index=True)[1]
+                        q, o_keys = q[first], o_keys[first]
                     yield from answers(Candidates(metric, x, x_given, x_keys, k), o_keys, q)
 
         # one block, one task: nothing is sorted, and no two blocks share a partition by chance
         found = dealt.repartitionById(outer_blocks * blocks, F.col("block")).mapInArrow(meet, schema)
-    if not left.where("ov is null").isEmpty():
+    if holes:
         # a null vector is equally far from all: the smallest keys
         first = right.select("i").orderBy("i").limit(k)
-        found = found.unionByName(left.where("ov is null").select("o").crossJoin(F.broadcast(first)).withColumn("dist", F.lit(None).cast("double")))
+        lost = left.where("ov is null").select("o")
+        found = found.unionByName((lost.distinct() if repeated else lost).crossJoin(F.broadcast(first)).withColumn("dist", F.lit(None).cast("double")))
     ranked = found.withColumn("rn", F.row_number().over(W.partitionBy("o").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rn") <= k).select("o", "i", "rn", "dist")
 
@@ -200,7 +216,7 @@ def knn_join(outer: DataFrame, outer_key: str, outer_vec: str, inner: DataFrame,
     if clash:
         raise ValueError(f"both sides have columns named {sorted(clash)}")
     asked = _asked(outer, outer_key, outer_vec)
-    pairs = knn_pairs(asked.dropDuplicates(["__o"]), "__o", outer_vec, inner, inner_key, inner_vec, k, metric, **more)
+    pairs = knn_pairs(asked, "__o", outer_vec, inner, inner_key, inner_vec, k, metric, repeated=True, **more)
     joined = pairs.join(inner, F.col("i") == F.col(inner_key)).join(asked, F.col("o") == F.col("__o"))
     return joined.select(*inner.columns, "rn", *outer.columns, "dist")
 
@@ -214,7 +230,7 @@ def _macro(metric: str) -> str:
 def _scored(left: DataFrame, right: DataFrame, left_key: str, left_col: str, right_key: str, right_col: str, k: int, metric: str) -> DataFrame:
     if "score" in right.columns:
         raise ValueError("the right table must not have a column named score")
-    pairs = knn_pairs(_asked(left, left_key, left_col).dropDuplicates(["__o"]), "__o", left_col, right, right_key, right_col, k, _macro(metric))
+    pairs = knn_pairs(_asked(left, left_key, left_col), "__o", left_col, right, right_key, right_col, k, _macro(metric), repeated=True)
     # a score that is null never enters a min_by or max_by list
     return pairs.where("dist is not null")
 
